@@ -53,8 +53,10 @@ def date_or_null(value: Column | str, fmt: str = "yyyy-MM-dd") -> Column:
 
 
 def bool_or_null(value: Column | str) -> Column:
-    word = code(value)
-    return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
+    """One map lookup, so that the text is prepared once however many spellings there are."""
+    words = {**dict.fromkeys(TRUE_WORDS, True), **dict.fromkeys(FALSE_WORDS, False)}
+    known = F.create_map(*(F.lit(x) for pair in words.items() for x in pair))
+    return F.try_element_at(known, F.upper(F.trim(_col(value).cast("string"))))
 
 
 def quality_flags(conditions: Mapping[str, Column]) -> Column:

@@ -12,9 +12,12 @@ _SALT = "_salt"
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate of ``df``; None where it cannot be read. Runs no job."""
+    """Spark's size estimate of ``df``; None where it cannot be read. Runs no job.
+
+    Taken before column pruning, so it errs on the large side and costs no optimizer run.
+    """
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
     except Exception:
         return None
 

@@ -9,12 +9,11 @@ them. ``{name}`` stands for a source table.
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.plans import gold, silver
+from claimloom.session import configure, spread
 from claimloom.sinks import stage
 
 CLAIMS_SQL = """
@@ -218,60 +217,85 @@ EVENT_STRUCTS = {
 AS_OF = "2024-06-01 00:00:00"
 
 
-def derive(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    statement, sources = STATEMENTS[name]
-    frames = {s: spark.read.parquet(f"{folder}/{s}.parquet") for s in sources}
-    return spark.sql(statement, **frames)
+SPREAD_BY = {"lineitem": "l_orderkey", "documents": "doc_id", "pages": "page_id", "events": "event_id"}
+
+
+DIMENSIONS = ("providers", "diagnosis", "cost")
 
 
 class Layers:
-    """The layers over one folder of source tables. Frames are lazy unless a method says staged."""
+    """The layers over one folder of source tables.
+
+    Frames are lazy. ``stored_*`` frames are written once to the shared folder and read back, as
+    a layer's tables are in a real run: reference tables that many plans join, so that their true
+    size is known to the planner, and fact tables that one plan reads more than once.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder = configure(spark), folder
         self.as_of = F.to_timestamp(F.lit(AS_OF))
+        self._frames: dict[tuple, DataFrame] = {}
+
+    def _once(self, key: tuple, build) -> DataFrame:
+        if key not in self._frames:
+            self._frames[key] = build()
+        return self._frames[key]
 
     def source(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        def read() -> DataFrame:
+            df = self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+            return spread(df, SPREAD_BY[table]) if table in SPREAD_BY else df
+
+        return self._once(("source", table), read)
 
     def raw(self, name: str) -> DataFrame:
-        return derive(self.spark, self.folder, name)
+        statement, sources = STATEMENTS[name]
+        return self._once(
+            ("raw", name), lambda: self.spark.sql(statement, **{s: self.source(s) for s in sources})
+        )
+
+    def stored_raw(self, name: str) -> DataFrame:
+        return self._once(("stored raw", name), lambda: stage(self.raw(name), f"bronze_{name}"))
 
     def bronze(self) -> dict[str, DataFrame]:
         return {n: self.raw(n) for n in ("claims", "providers", "diagnosis", "cost", "policies")}
 
-    def validated(self, name: str) -> DataFrame:
+    def _validate(self, name: str) -> DataFrame:
         if name == "claims":
-            return silver.validated_claims(self.raw("claims"), self.raw("providers"), self.raw("diagnosis"), self.as_of)
+            references = (self.stored_raw("providers"), self.stored_raw("diagnosis"))
+            return silver.validated_claims(self.raw("claims"), *references, self.as_of)
         if name == "policy_chunks":
             return silver.validated_documents(self.raw("policies"), self.as_of)
         check = {"providers": silver.validated_providers, "diagnosis": silver.validated_diagnosis, "cost": silver.validated_cost}
         return check[name](self.raw(name), self.as_of)
 
+    def validated(self, name: str) -> DataFrame:
+        return self._once(("validated", name), lambda: self._validate(name))
+
     def trusted(self, name: str) -> DataFrame:
         if name == "policy_chunks":
             return silver.policy_chunks(self.validated(name))
         return silver.trusted_rows(self.validated(name))
 
+    def stored(self, name: str) -> DataFrame:
+        """A trusted table, stored."""
+        return self._once(("stored", name), lambda: stage(self.trusted(name), f"silver_{name}"))
+
+    def references(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Trusted providers, diagnosis and cost, stored."""
+        return tuple(self.stored(name) for name in DIMENSIONS)
+
     def quarantined(self, name: str) -> DataFrame:
         if name == "policy_chunks":
             return silver.quarantined_documents(self.validated(name), self.as_of)
         return silver.quarantined_rows(self.validated(name), name, self.as_of)
 
-    @cached_property
-    def stored_claims(self) -> DataFrame:
-        """Trusted claims as a staged table, for plans that read them more than once."""
-        return stage(self.trusted("claims"), "silver_claims")
-
     def gold(self, approx: bool = False) -> DataFrame:
-        return gold.gold_features(
-            self.stored_claims, self.trusted("providers"), self.trusted("diagnosis"), self.trusted("cost"),
-            self.as_of, approx,
-        )
+        return gold.gold_features(self.stored("claims"), *self.references(), self.as_of, approx)
 
-    @cached_property
+    @property
     def stored_gold(self) -> DataFrame:
-        return stage(self.gold(), "gold_features")
+        return self._once(("stored", "gold"), lambda: stage(self.gold(), "gold_features"))
 
     def event_log(self, shape: str = "json") -> DataFrame:
         """The event log with its nested columns as JSON text or as structs."""

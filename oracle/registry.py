@@ -242,7 +242,7 @@ def _(L):
   CAST(diagnosis_known AS INT) AS diagnosis_known, count(*) AS n FROM ranked_claims GROUP BY ALL""")
 def _(L):
     claims = silver.clean_claims(L.raw("claims"))
-    marked = silver.mark_references(claims, L.raw("providers"), L.raw("diagnosis"))
+    marked = silver.mark_references(claims, L.stored_raw("providers"), L.stored_raw("diagnosis"))
     return marked.groupBy("provider_id", "diagnosis_code",
                           F.col("_provider_known").isNotNull().alias("provider_known"),
                           F.col("_diagnosis_known").isNotNull().alias("diagnosis_known")).agg(F.count(F.lit(1)).alias("n"))
@@ -380,7 +380,7 @@ def _(L):
 
 @query("gld1_benchmark_join", f"SELECT claim_id, specialty, location, category, severity, {dbl('average_cost', 'expected_cost')} FROM gold")
 def _(L):
-    joined = gold.benchmark_join(L.trusted("claims"), L.trusted("providers"), L.trusted("diagnosis"), L.trusted("cost"))
+    joined = gold.benchmark_join(L.trusted("claims"), *L.references())
     return joined.select("claim_id", "specialty", "location", "category", "severity", "average_cost", "expected_cost")
 
 
@@ -393,7 +393,7 @@ _CLAIM_FEATURES = {
 
 
 def _claim_feature(L: Layers, name: str) -> DataFrame:
-    joined = gold.benchmark_join(L.trusted("claims"), L.trusted("providers"), L.trusted("diagnosis"), L.trusted("cost"))
+    joined = gold.benchmark_join(L.trusted("claims"), *L.references())
     return gold.claim_features(joined).select("claim_id", name)
 
 
@@ -404,17 +404,17 @@ for _i, (_name, _kind) in _CLAIM_FEATURES.items():
 
 @query("gld11_provider_risk", "SELECT provider_id, provider_claim_count, provider_risk_score FROM provider_totals")
 def _(L):
-    return provider_days(L.stored_claims, M.TRAILING_DAYS).select("provider_id", "provider_claim_count", "provider_risk_score").distinct()
+    return provider_days(L.stored("claims"), M.TRAILING_DAYS).select("provider_id", "provider_claim_count", "provider_risk_score").distinct()
 
 
 @query("gld12_provider_claims_30d", f"SELECT DISTINCT provider_id, {txt('date')}, provider_claim_count_30d FROM windowed_claims")
 def _(L):
-    return provider_days(L.stored_claims, M.TRAILING_DAYS).select("provider_id", "date", "provider_claim_count_30d")
+    return provider_days(L.stored("claims"), M.TRAILING_DAYS).select("provider_id", "date", "provider_claim_count_30d")
 
 
 @query("gld13_diagnosis_count", "SELECT provider_id, diagnosis_count FROM provider_totals")
 def _(L):
-    return provider_days(L.stored_claims, M.TRAILING_DAYS).select("provider_id", "diagnosis_count").distinct()
+    return provider_days(L.stored("claims"), M.TRAILING_DAYS).select("provider_id", "diagnosis_count").distinct()
 
 
 _GOLD_SQL = f"""SELECT claim_id, patient_id, provider_id, diagnosis_code, procedure_code, {txt('date')}, specialty, location, category, severity,
@@ -438,7 +438,7 @@ def _(L):
 
 @query("gld13_diagnosis_count_approx")
 def _(L):
-    return provider_days(L.stored_claims, M.TRAILING_DAYS, approx=True).select("provider_id", "diagnosis_count").distinct()
+    return provider_days(L.stored("claims"), M.TRAILING_DAYS, approx=True).select("provider_id", "diagnosis_count").distinct()
 
 
 # --- Analytics -----------------------------------------------------------------------------
@@ -450,13 +450,13 @@ _JOIN_CLAIM = "c.claim_id, c.patient_id, c.provider_id, c.diagnosis_code, c.proc
 @query("anl1_claims_provider_joined", f"""SELECT {_JOIN_CLAIM}, p.doctor_name, p.specialty, p.location, {_JOIN_LINEAGE.format(a='p', n='provider')}
   FROM t_claims c LEFT JOIN t_providers p ON c.provider_id = p.provider_id""")
 def _(L):
-    return analytics.claims_with_providers(L.trusted("claims"), L.trusted("providers"))
+    return analytics.claims_with_providers(L.trusted("claims"), L.stored("providers"))
 
 
 @query("anl2_claims_diagnosis_joined", f"""SELECT {_JOIN_CLAIM}, d.category, d.severity, {_JOIN_LINEAGE.format(a='d', n='diagnosis')}
   FROM t_claims c LEFT JOIN t_diagnosis d ON c.diagnosis_code = d.diagnosis_code""")
 def _(L):
-    return analytics.claims_with_diagnosis(L.trusted("claims"), L.trusted("diagnosis"))
+    return analytics.claims_with_diagnosis(L.trusted("claims"), L.stored("diagnosis"))
 
 
 def _billing_sql(groups: str, distinct: str, name: str, source: str) -> str:
@@ -467,21 +467,21 @@ def _billing_sql(groups: str, distinct: str, name: str, source: str) -> str:
 
 @query("anl3_by_specialty", _billing_sql("specialty", "provider_id", "provider_count", "gold_joined"))
 def _(L):
-    return analytics.by_specialty(analytics.claims_with_providers(L.trusted("claims"), L.trusted("providers")))
+    return analytics.by_specialty(analytics.claims_with_providers(L.trusted("claims"), L.stored("providers")))
 
 
 @query("anl4_by_region", _billing_sql("location AS region", "provider_id", "provider_count", "gold_joined"))
 def _(L):
-    return analytics.by_region(analytics.claims_with_providers(L.trusted("claims"), L.trusted("providers")))
+    return analytics.by_region(analytics.claims_with_providers(L.trusted("claims"), L.stored("providers")))
 
 
 @query("anl5_by_diagnosis", _billing_sql("category, severity", "diagnosis_code", "diagnosis_code_count", "gold_joined"))
 def _(L):
-    return analytics.by_diagnosis(analytics.claims_with_diagnosis(L.trusted("claims"), L.trusted("diagnosis")))
+    return analytics.by_diagnosis(analytics.claims_with_diagnosis(L.trusted("claims"), L.stored("diagnosis")))
 
 
 def _enriched(L: Layers) -> DataFrame:
-    return analytics.cost_enriched(L.trusted("claims"), L.trusted("providers"), L.trusted("cost"))
+    return analytics.cost_enriched(L.trusted("claims"), L.stored("providers"), L.stored("cost"))
 
 
 @query("anl6_cost_enriched", f"""SELECT claim_id, provider_id, diagnosis_code, {txt('date')}, claim_procedure_code, doctor_name, specialty, provider_region,
@@ -535,7 +535,7 @@ def _(L):
   CAST(lower(p.specialty) <> lower(d.category) AS INT) AS specialty_diagnosis_mismatch
   FROM t_claims c LEFT JOIN t_providers p ON c.provider_id = p.provider_id LEFT JOIN t_diagnosis d ON c.diagnosis_code = d.diagnosis_code""")
 def _(L):
-    return analytics.specialty_mismatch(L.trusted("claims"), L.trusted("providers"), L.trusted("diagnosis"))
+    return analytics.specialty_mismatch(L.trusted("claims"), L.stored("providers"), L.stored("diagnosis"))
 
 
 _FIVE = ("claims", "providers", "diagnosis", "cost", "policies")
@@ -567,7 +567,7 @@ def _(L):
 def _(L):
     """Builds all fifteen summaries over one stored Silver layer and reports their sizes."""
     rows = stage(L.validated("claims"), "validated_claims")
-    trusted = {n: L.trusted(n) for n in ("providers", "diagnosis", "cost")} | {"claims": silver.trusted_rows(rows)}
+    trusted = {n: L.stored(n) for n in ("providers", "diagnosis", "cost")} | {"claims": silver.trusted_rows(rows)}
     frames = refresh.claim_summaries(L.bronze(), trusted, silver.quarantined_rows(rows, "claims", L.as_of))
     sizes = [df.agg(F.lit(n).alias("table_key"), F.count(F.lit(1)).alias("row_count")) for n, df in frames.items()]
     out = sizes[0]
@@ -702,7 +702,7 @@ def _(L):
 
 @query("prf6_orphan_providers", "SELECT DISTINCT provider_id FROM t_claims WHERE provider_id NOT IN (SELECT provider_id FROM t_providers)")
 def _(L):
-    return profiling.orphan_keys(L.trusted("claims"), L.trusted("providers"), "provider_id")
+    return profiling.orphan_keys(L.trusted("claims"), L.stored("providers"), "provider_id")
 
 
 @query("prf7_missing_locations", """SELECT count(*) AS providers, count(*) FILTER (location IS NULL OR trim(location) = '') AS missing_location,
@@ -718,7 +718,7 @@ _OVER_SQL = """SELECT claim_id, c.procedure_code, CAST(billed_amount AS DOUBLE)
 
 
 def _over(L: Layers) -> DataFrame:
-    return profiling.overbilled(L.trusted("claims"), L.trusted("cost"), F.col("billed_amount"), F.col("expected_cost"))
+    return profiling.overbilled(L.trusted("claims"), L.stored("cost"), F.col("billed_amount"), F.col("expected_cost"))
 
 
 @query("prf8_overbilled_count", f"SELECT procedure_code, count(*) AS n FROM ({_OVER_SQL}) o GROUP BY 1")
@@ -797,19 +797,19 @@ _LABEL_SQL = """SELECT claim_id, reason AS denial_reason_code, claim_status, CAS
 
 
 def _relabelled(L: Layers) -> DataFrame:
-    return labels.relabelled(L.trusted("claims"), L.trusted("providers"), L.trusted("cost"), L.raw("review_ids"))
+    return labels.relabelled(L.trusted("claims"), L.stored("providers"), L.stored("cost"), L.raw("review_ids"))
 
 
 @query("lbl1_classified_claims", "SELECT claim_id, reason AS denial_reason_code, CAST(allowed AS DOUBLE) AS allowed_amount FROM labelled")
 def _(L):
     bare = L.trusted("claims").drop(*labels.LABELS)
-    priced = labels.expected_costs(bare, L.trusted("providers"), L.trusted("cost"))
+    priced = labels.expected_costs(bare, L.stored("providers"), L.stored("cost"))
     return labels.classified(labels.in_review(priced, L.raw("review_ids"))).select("claim_id", "denial_reason_code", "allowed_amount")
 
 
 @query("lbl2_regional_benchmark", f"SELECT claim_id, {dbl('expected_cost')} FROM label_inputs")
 def _(L):
-    return labels.expected_costs(L.trusted("claims"), L.trusted("providers"), L.trusted("cost")).select("claim_id", "expected_cost")
+    return labels.expected_costs(L.trusted("claims"), L.stored("providers"), L.stored("cost")).select("claim_id", "expected_cost")
 
 
 @query("lbl3_applied_labels", _LABEL_SQL)
@@ -974,7 +974,7 @@ _PSI_COUNTS = f"""SELECT len(list_filter(edges, lambda e: e < v)) AS bucket, cou
 
 
 def _drift_counts(L: Layers) -> DataFrame:
-    claims = L.stored_claims.select("date", F.col("billed_amount").cast("double").alias("v"))
+    claims = L.stored("claims").select("date", F.col("billed_amount").cast("double").alias("v"))
     cut = F.to_date(F.lit("1998-07-01"))
     return drift.drift_buckets(claims.where(F.col("date") < cut), claims.where(F.col("date") >= cut), "v")
 
