@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from claimloom.model import NEWEST_FIRST, ROW_ID
 from claimloom.operators.lookups import lookup
+from claimloom.sinks import stage
 
 PRIORITY = "_row_priority"
 COPIES_PER_CHUNK = 10_000
@@ -39,6 +40,7 @@ def mark_newest(
     keys: Sequence[str],
     order: Sequence[Column] | None = None,
     row_id: str = ROW_ID,
+    store_contest: bool = False,
 ) -> DataFrame:
     """Add ``_row_priority``: 1 for the newest row of each key, 2 for the rows it replaces.
 
@@ -48,7 +50,10 @@ def mark_newest(
     in no contest and keep 1.
 
     Only the largest order value of each contested key is shuffled and joined back, instead of
-    sorting every key's rows in one window task.
+    sorting every key's rows in one window task. With ``store_contest`` those values are written
+    first, from a pass over the key and order columns alone. Their true size is then known: while
+    it is below the broadcast threshold the full rows are not shuffled at all, beyond it they
+    meet in the salted join. Use it for large inputs of wide rows; it runs a job at once.
     """
     order = list(order) if order is not None else [F.col(c) for c in NEWEST_FIRST]
     added_id = row_id not in df.columns
@@ -63,6 +68,8 @@ def mark_newest(
         .where(F.col("_rows") > 1)
         .drop("_rows")
     )
+    if store_contest:
+        contested = stage(contested, "contested")
     marked = lookup(df, contested, on=keys, salts=4).withColumn(
         PRIORITY, F.when(position < F.col("_newest"), 2).otherwise(1)
     )

@@ -60,6 +60,6 @@ def gold_features(
     """
     activity = provider_days(claims, TRAILING_DAYS, approx_diagnosis_count)
     base = claim_features(benchmark_join(claims.drop(*OUTCOME_COLUMNS), providers, diagnosis, cost))
-    rows = lookup(base, activity, on=["provider_id", "date"], null_safe=["date"])
+    rows = lookup(base, activity, on=["provider_id", "date"], salts=8, null_safe=["date"])
     stamped = rows.withColumn(GOLD_PROCESSED_AT, F.current_timestamp() if as_of is None else as_of)
     return stamped.select(*GOLD_COLUMNS)

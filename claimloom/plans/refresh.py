@@ -59,7 +59,8 @@ def refresh_gold(spark: SparkSession, namespace: Namespace) -> str:
     tables = silver_tables(spark, namespace)
     features = gold.gold_features(*(tables[n] for n in ("claims", "providers", "diagnosis", "cost")))
     namespace.create(spark, ("gold",))
-    table = overwrite(features, namespace.gold("claim_features"), ("claim_id",))
+    # Cutting ranges samples the frame first; stored, it is computed once.
+    table = overwrite(stage(features, "gold_features"), namespace.gold("claim_features"), ("claim_id",))
     comment = table_ready("Gold", table, "gold_pipeline", "SENSITIVE")
     set_properties(spark, table, properties("SENSITIVE", GOLD_PHI, "gold"), comment)
     return table

@@ -108,8 +108,13 @@ def mark_references(claims: DataFrame, providers: DataFrame, diagnosis: DataFram
 
 
 def validated_claims(
-    claims: DataFrame, providers: DataFrame, diagnosis: DataFrame, as_of: Column | None = None
+    claims: DataFrame,
+    providers: DataFrame,
+    diagnosis: DataFrame,
+    as_of: Column | None = None,
+    store_contest: bool = True,
 ) -> DataFrame:
+    """Claims are wide and many, so their duplicate contest is stored unless told otherwise."""
     cleaned = clean_claims(claims).withColumns({
         PROCESSED_AT: _stamp(as_of),
         QUALITY_FLAGS: C.quality_flags({
@@ -117,7 +122,7 @@ def validated_claims(
             "missing_billed_amount": F.col("billed_amount").isNull(),
         }),
     })
-    ranked = mark_newest(cleaned, CLAIMS.keys)
+    ranked = mark_newest(cleaned, CLAIMS.keys, store_contest=store_contest)
     return judge(mark_references(ranked, providers, diagnosis), CLAIM_RULES)
 
 
@@ -157,11 +162,17 @@ def validated_cost(cost: DataFrame, as_of: Column | None = None) -> DataFrame:
     return judge(mark_newest(cleaned, COST.keys), COST_RULES)
 
 
-def validated_documents(policies: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """Every landed document with its extracted text; only the newest version of a path is current."""
+def validated_documents(
+    policies: DataFrame, as_of: Column | None = None, store_contest: bool = True
+) -> DataFrame:
+    """Every landed document with its extracted text; only the newest version of a path is current.
+
+    With the contest stored, and few documents replaced, no document body is ever shuffled.
+    """
     newest = [F.coalesce(INGESTED_AT, "modificationTime"), F.col(RUN_ID), F.col(SOURCE_FILE)]
     is_markup = F.lower("path").rlike(r"\.html?$")
-    extracted = mark_newest(policies, POLICIES.keys, newest).withColumn(
+    ranked = mark_newest(policies, POLICIES.keys, newest, store_contest=store_contest)
+    extracted = ranked.withColumn(
         "_extracted", TX.extract_text(F.col("content"), is_markup)
     )
     columns = [c for c in extracted.columns if c not in ("_extracted", "content")]

@@ -9,7 +9,7 @@ from claimloom.operators.lookups import estimated_bytes
 # HotSpot never compiles a method above 8,000 bytecodes. A wide projection fused into one
 # larger method would run interpreted, several times slower than split generated code.
 SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
-_SCAN_BYTES = 128 << 20
+SMALL_INPUT = 1 << 30
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -19,13 +19,13 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal ``df`` over all cores by ``keys`` when its files are too few to occupy them.
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small input evenly over the cores.
 
-    Inputs with at least one scan split per core, so anything large, are left as they are.
+    A file of one row group is one task, however many cores there are. From one GiB on, files
+    have splits enough and are left as they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
     size = estimated_bytes(df)
-    if size is None or size >= cores * _SCAN_BYTES:
+    if size is None or size >= SMALL_INPUT:
         return df
-    return df.repartition(cores, *keys)
+    return df.repartition(min(df.sparkSession.sparkContext.defaultParallelism, 64))

@@ -9,6 +9,8 @@ them. ``{name}`` stands for a source table.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -216,10 +218,7 @@ EVENT_STRUCTS = {
 
 AS_OF = "2024-06-01 00:00:00"
 
-
-SPREAD_BY = {"lineitem": "l_orderkey", "documents": "doc_id", "pages": "page_id", "events": "event_id"}
-
-
+FACTS = ("lineitem", "documents", "pages", "events")
 DIMENSIONS = ("providers", "diagnosis", "cost")
 
 
@@ -244,7 +243,7 @@ class Layers:
     def source(self, table: str) -> DataFrame:
         def read() -> DataFrame:
             df = self.spark.read.parquet(f"{self.folder}/{table}.parquet")
-            return spread(df, SPREAD_BY[table]) if table in SPREAD_BY else df
+            return spread(df) if table in FACTS else df
 
         return self._once(("source", table), read)
 
@@ -262,7 +261,7 @@ class Layers:
 
     def _validate(self, name: str) -> DataFrame:
         if name == "claims":
-            references = (self.stored_raw("providers"), self.stored_raw("diagnosis"))
+            references = self._together(self.stored_raw, ("providers", "diagnosis"))
             return silver.validated_claims(self.raw("claims"), *references, self.as_of)
         if name == "policy_chunks":
             return silver.validated_documents(self.raw("policies"), self.as_of)
@@ -281,9 +280,15 @@ class Layers:
         """A trusted table, stored."""
         return self._once(("stored", name), lambda: stage(self.trusted(name), f"silver_{name}"))
 
+    @staticmethod
+    def _together(build, names) -> list[DataFrame]:
+        """Store several tables by concurrent jobs."""
+        with ThreadPoolExecutor(max_workers=4) as pool:
+            return list(pool.map(build, names))
+
     def references(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Trusted providers, diagnosis and cost, stored."""
-        return tuple(self.stored(name) for name in DIMENSIONS)
+        return tuple(self._together(self.stored, DIMENSIONS))
 
     def quarantined(self, name: str) -> DataFrame:
         if name == "policy_chunks":
@@ -291,7 +296,8 @@ class Layers:
         return silver.quarantined_rows(self.validated(name), name, self.as_of)
 
     def gold(self, approx: bool = False) -> DataFrame:
-        return gold.gold_features(self.stored("claims"), *self.references(), self.as_of, approx)
+        claims, *references = self._together(self.stored, ("claims", *DIMENSIONS))
+        return gold.gold_features(claims, *references, self.as_of, approx)
 
     @property
     def stored_gold(self) -> DataFrame:

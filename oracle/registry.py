@@ -250,7 +250,7 @@ def _(L):
 
 @query("val3_newest_wins_claims", "SELECT claim_id, _row_id, CASE WHEN rn = 1 OR claim_id IS NULL THEN 1 ELSE 2 END AS priority FROM ranked_claims")
 def _(L):
-    ranked = mark_newest(silver.clean_claims(L.raw("claims")), M.CLAIMS.keys)
+    ranked = mark_newest(silver.clean_claims(L.raw("claims")), M.CLAIMS.keys, store_contest=True)
     return ranked.select("claim_id", "_row_id", F.col(PRIORITY).alias("priority"))
 
 
