@@ -1,10 +1,12 @@
 """Document text: extraction from markup, whitespace, and overlapping token windows.
 
-All of it is built-in expressions, so a document never leaves the JVM.
+All of it is built-in expressions, so a document never leaves the JVM; only a parser given to
+:func:`parsed_by` runs in Python, on Arrow batches.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,23 @@ def normalize_spaces(text: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(text, _SPACE, " ")), F.lit(""))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once per row, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _visible(raw: Column) -> Column:
+    for pattern in _HIDDEN:
+        raw = F.regexp_replace(raw, pattern, " ")
+    return F.regexp_replace(raw, _TAG, " ")
+
+
+def _decoded(text: Column) -> Column:
+    for entity, character in _ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(character))
+    return text
+
+
 def extract_text(content: Column, is_markup: Column) -> Column:
     """``struct(policy_text, status, error_message)`` for one document.
 
@@ -38,23 +57,59 @@ def extract_text(content: Column, is_markup: Column) -> Column:
     document unreadable, as do bytes that are not UTF-8; nothing visible left makes it empty.
     """
     raw = F.coalesce(content.cast("string"), F.lit(""))
-    visible = raw
-    for pattern in _HIDDEN:
-        visible = F.regexp_replace(visible, pattern, " ")
-    visible = F.regexp_replace(visible, _TAG, " ")
-    broken = is_markup & F.regexp_like(visible, F.lit(_OPEN_TAG))
-    for entity, character in _ENTITIES:
-        visible = F.replace(visible, F.lit(entity), F.lit(character))
-    text = F.when(is_markup, visible).otherwise(raw)
-    text = F.nullif(F.regexp_replace(text, rf"^{_SPACE}|{_SPACE}$", ""), F.lit(""))
+
+    def from_markup(visible: Column) -> Column:
+        broken = F.regexp_like(visible, F.lit(_OPEN_TAG))
+        return F.when(broken, _outcome(None, UNREADABLE, "markup ends inside a tag")).otherwise(
+            _readable(_decoded(visible))
+        )
+
     return (
         F.when(~F.is_valid_utf8(raw), _outcome(None, UNREADABLE, "content is not UTF-8 text"))
-        .when(broken, _outcome(None, UNREADABLE, "markup ends inside a tag"))
-        .when(text.isNull(), _outcome(None, EMPTY, None))
-        .otherwise(_outcome(text, OK, None))
+        .when(is_markup, _let(_visible(raw), from_markup))
+        .otherwise(_readable(raw))
+    )
+
+
+def _readable(text: Column) -> Column:
+    bare = F.regexp_replace(text, rf"^{_SPACE}|{_SPACE}$", "")
+    return _let(
+        bare, lambda t: F.when(t == "", _outcome(None, EMPTY, None)).otherwise(_outcome(t, OK, None))
     )
 
 
+def parsed_by(parse) -> "Callable[[Column, Column], Column]":  # noqa: F821
+    """An extractor like :func:`extract_text` around ``parse(bytes) -> str | None``.
+
+    For formats Spark cannot read itself, such as PDF with :func:`pdf_text`. Documents travel in
+    Arrow batches; an exception makes its document unreadable and no text makes it empty.
+    """
+
+    def outcome(data) -> tuple:
+        try:
+            text = parse(bytes(data)) if data else None
+        except Exception as error:
+            return None, UNREADABLE, str(error)
+        return (text, OK, None) if text else (None, EMPTY, None)
+
+    def batch(contents: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([outcome(c) for c in contents], columns=["policy_text", "status", "error_message"])
+
+    extract = F.pandas_udf(batch, "policy_text string, status string, error_message string")
+    return lambda content, is_markup: extract(content)
+
+
+def pdf_text(data: bytes) -> str | None:
+    """Text of a PDF, where the optional pdfplumber library is installed on the workers."""
+    import io
+
+    import pdfplumber
+
+    with pdfplumber.open(io.BytesIO(data)) as document:
+        pages = ((page.extract_text() or "").strip() for page in document.pages)
+        return "\n".join(filter(None, pages)) or None
+
+
 def _outcome(text: Column | None, status: str, error: str | None) -> Column:
     return F.struct(
         (F.lit(None).cast("string") if text is None else text).alias("policy_text"),
@@ -69,16 +124,26 @@ def chunks(text: Column, size: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS
     Windows of ``size`` blank-separated tokens start every ``size - overlap`` tokens and stop
     with the first one that reaches the end. No text gives an empty array.
     """
-    step = max(1, size - overlap)
     tokens = F.split(normalize_spaces(text), " ")
-    return F.coalesce(_windows(tokens, size, step), F.array().cast(_CHUNKS))
+    windows = _let(tokens, lambda t: _windows(t, size, max(1, size - overlap)))
+    return F.coalesce(windows, F.array().cast(_CHUNKS))
+
+
+def chunk_count(text: Column, size: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS) -> Column:
+    """How many windows :func:`chunks` makes, without making them."""
+    tokens = F.size(F.split(normalize_spaces(text), " "))
+    return F.when(tokens > 0, _last_index(tokens, size, max(1, size - overlap)) + 1).otherwise(0)
 
 
 _CHUNKS = "array<struct<chunk_index:int,chunk_text:string,token_count:int>>"
 
 
+def _last_index(tokens: Column, size: int, step: int) -> Column:
+    return F.greatest(F.lit(0), F.ceil((tokens - size) / F.lit(step)).cast("int"))
+
+
 def _windows(tokens: Column, size: int, step: int) -> Column:
-    last = F.greatest(F.lit(0), F.ceil((F.size(tokens) - size) / F.lit(step)).cast("int"))
+    last = _last_index(F.size(tokens), size, step)
 
     def window(index: Column) -> Column:
         part = F.slice(tokens, index * step + 1, F.lit(size))

@@ -6,6 +6,8 @@ rule or NULL. ``rules.trusted`` and ``rules.quarantined`` then divide it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -163,19 +165,21 @@ def validated_cost(cost: DataFrame, as_of: Column | None = None) -> DataFrame:
 
 
 def validated_documents(
-    policies: DataFrame, as_of: Column | None = None, store_contest: bool = True
+    policies: DataFrame,
+    as_of: Column | None = None,
+    store_contest: bool = True,
+    extract: Callable[[Column, Column], Column] = TX.extract_text,
 ) -> DataFrame:
     """Every landed document with its extracted text; only the newest version of a path is current.
 
-    With the contest stored, and few documents replaced, no document body is ever shuffled.
+    Text is extracted below the contest, so a filter on its outcome cannot repeat the work. With
+    the contest stored, and few documents replaced, no document is ever shuffled.
     """
     newest = [F.coalesce(INGESTED_AT, "modificationTime"), F.col(RUN_ID), F.col(SOURCE_FILE)]
     is_markup = F.lower("path").rlike(r"\.html?$")
-    ranked = mark_newest(policies, POLICIES.keys, newest, store_contest=store_contest)
-    extracted = ranked.withColumn(
-        "_extracted", TX.extract_text(F.col("content"), is_markup)
-    )
-    columns = [c for c in extracted.columns if c not in ("_extracted", "content")]
+    read = policies.withColumn("_extracted", extract(F.col("content"), is_markup)).drop("content")
+    extracted = mark_newest(read, POLICIES.keys, newest, store_contest=store_contest)
+    columns = [c for c in extracted.columns if c != "_extracted"]
     documents = extracted.select(
         *columns,
         F.col("_extracted.policy_text").alias("policy_text"),

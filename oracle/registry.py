@@ -591,7 +591,7 @@ def _status(L: Layers) -> DataFrame:
     validated = {d: L.validated(d) for d in _DATASET_VIEWS}
     documents = validated["policy_chunks"]
     validated["policy_chunks"] = documents.withColumn(
-        "_chunks", F.when(F.col(rules.FAILURE).isNull(), F.size(TX.chunks(F.col("policy_text")))))
+        "_chunks", F.when(F.col(rules.FAILURE).isNull(), TX.chunk_count(F.col("policy_text"))))
     return quality.table_status_of(validated, NAMES, {"policy_chunks": "_chunks"})
 
 
