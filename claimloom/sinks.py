@@ -45,6 +45,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_all(frames: Mapping[str, DataFrame], workers: int = 4) -> dict[str, DataFrame]:
+    """Stage several frames; up to ``workers`` of them at a time as concurrent Spark jobs."""
+    with ThreadPoolExecutor(max_workers=max(1, min(workers, len(frames)))) as pool:
+        stored = pool.map(lambda item: stage(item[1], item[0]), frames.items())
+        return dict(zip(frames, stored))
+
+
 def clustered(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows ranged and sorted by ``columns``, so file and row-group statistics can skip data.
 

@@ -11,14 +11,14 @@ from pyspark.sql import types as T
 
 from claimloom import model as M
 from claimloom.functions import cleaning as C
-from claimloom.functions import privacy
+from claimloom.functions import nested, privacy
 from claimloom.functions import text as TX
 from claimloom.namespace import Namespace
 from claimloom.operators import drift, expectations, flags, profiling, rules
 from claimloom.operators.activity import provider_days
 from claimloom.operators.newest import PRIORITY, mark_newest, upsert
 from claimloom.plans import analytics, eventlog, gold, labels, modelling, quality, refresh, silver
-from claimloom.sinks import stage
+from claimloom.sinks import clustered, stage, stage_all
 from claimloom.sources.testbed import Layers
 from oracle.layers_sql import AS_OF_SQL, boolean, money, title, with_layers
 
@@ -643,13 +643,39 @@ def _(L):
 
 @query("ops7_nested_paths", "SELECT origin->>'$.pipeline_id' AS pipeline_id, details->>'$.flow_progress.status' AS status, details->>'$.update_progress.state' AS state, count(*) AS n FROM bronze_event_log GROUP BY ALL")
 def _(L):
-    from claimloom.functions import nested
-
     log = L.event_log("struct")
     return log.groupBy(nested.at(log, "origin.pipeline_id").alias("pipeline_id"), nested.at(log, "details.flow_progress.status").alias("status"),
                        nested.at(log, "details.update_progress.state").alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _sizes(frames: dict[str, DataFrame]) -> DataFrame:
+    counts = [df.agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("row_count")) for n, df in frames.items()]
+    out = counts[0]
+    for other in counts[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+_RULES_HIT = " + ".join(f"(SELECT count(DISTINCT rule_name) FROM {v})" for v in _DATASET_VIEWS.values())
+
+
+@query("ops8_quality_tables", f"SELECT 'ops_silver_table_status' AS table_name, 5 AS row_count UNION ALL SELECT 'ops_quarantine_summary', {_RULES_HIT}")
+def _(L):
+    return _sizes(stage_all({
+        "ops_silver_table_status": _status(L),
+        "ops_quarantine_summary": quality.quarantine_summary({d: L.quarantined(d) for d in _DATASET_VIEWS}),
+    }))
+
+
+@query("ops9_event_tables", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS row_count FROM ({_EVENT_SQL[k]}) x" for t, k in (
+        ("ops_pipeline_updates", "ops3_lifecycle_updates"), ("ops_expectation_metrics", "ops4_expectation_metrics"),
+        ("ops_user_actions", "ops5_user_actions"), ("ops_latest_failures", "ops6_failures"))))
+def _(L):
+    log = L.event_log("json")
+    return _sizes(stage_all({name: build(log) for name, build in eventlog.TABLES.items()}))
+
+
 # --- Profiling -----------------------------------------------------------------------------
 
 _EXPECTED = {n: d.expected_rows for n, d in M.ALL_DATASETS.items()}
@@ -1032,7 +1058,5 @@ def _(L):
 
 @query("snk_clustered_stage", "SELECT claim_id, CAST(date AS VARCHAR) AS date, rule_name FROM v_claims")
 def _(L):
-    from claimloom.sinks import clustered
-
     rows = L.validated("claims").select("claim_id", "date", F.col("_failure.rule_name").alias("rule_name"))
     return stage(clustered(rows, M.CLAIMS.cluster), "clustered_claims")
