@@ -70,7 +70,7 @@ def mark_newest(
     )
     if store_contest:
         contested = stage(contested, "contested")
-    marked = lookup(df, contested, on=keys, salts=4).withColumn(
+    marked = lookup(df, contested, on=keys, salts=8).withColumn(
         PRIORITY, F.when(position < F.col("_newest"), 2).otherwise(1)
     )
     return marked.drop("_newest", *([row_id] if added_id else []))
