@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import bpe, decontaminate, sharding, url_filter
-from claimloom.llm.common import table
+from claimloom.llm import bpe, decontaminate, langid, quality, sharding, url_filter
+from claimloom.llm.common import remainder, table
 from claimloom.llm.url_filter import Rule
 
 RULES = (
@@ -24,6 +24,26 @@ RULES = (
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = quality.train(docs, labels.filter(remainder("doc_id", 4) != 2), metadata=["n_chars"])
+    scored = quality.score(docs, machine, metadata=["n_chars"])
+    return scored.select(
+        "doc_id",
+        (remainder("doc_id", 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.KEEP_AT).cast("int").alias("predicted"),
+    )
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(remainder("doc_id", 4) != 2))
+    return langid.predict(docs, model).select(
+        "doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.encode_decode(
         table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
@@ -101,6 +121,8 @@ FROM folded LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_language": op2_language,
     "op3_bpe": op3_bpe,
     "op4_sharding": op4_sharding,
     "op5_decontamination": op5_decontamination,
