@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import bpe, decontaminate, langid, pii, quality, sharding, url_filter
+from claimloom.llm import bpe, dartminhash, decontaminate, langid, pii, quality, sharding, url_filter
 from claimloom.llm.common import remainder, table
 from claimloom.llm.url_filter import Rule
 
@@ -80,13 +80,13 @@ def _joined(spans) -> Column:
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [
-        F.size(F.filter("spans", lambda s, k=kind: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{kind}")
-        for kind in ("email", "ip", "card", "phone")
-    ]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
     return found.select(
         F.col("row_id").alias("doc_id"),
-        *counts,
+        *map(count, ("email", "ip", "card", "phone")),
         F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"),
         _joined(F.col("spans")).alias("spans"),
     )
@@ -117,6 +117,10 @@ SELECT page_id, p.host, p.path, rule, coalesce(says, 'allow') AS verdict
 FROM parts p LEFT JOIN hits h ON p.host = h.host AND p.path = h.path AND k = 1
 """
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.groups(table(spark, sf_dir, "documents"))
+
+
 OP5_SQL = r"""
 WITH folded AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -148,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op7_pii": op7_pii,
     "op9_url_filter": op9_url_filter,
+    "op10_minhash": op10_minhash,
 }
 
 SQL: dict[str, str] = {"op5_decontamination": OP5_SQL, "op9_url_filter": OP9_SQL}
