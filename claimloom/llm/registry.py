@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import bpe, dartminhash, decontaminate, langid, ngram_lm, pii, quality, sharding, url_filter
+from claimloom.llm import bpe, dartminhash, decontaminate, hnsw, langid, ngram_lm, pii, quality, sharding, url_filter
 from claimloom.llm.common import remainder, table
 from claimloom.llm.url_filter import Rule
 
@@ -72,6 +72,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def _joined(spans) -> Column:
     written = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
     return F.array_join(written, ",")
@@ -157,6 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_sharding": op4_sharding,
     "op5_decontamination": op5_decontamination,
+    "op6_embeddings": op6_embeddings,
     "op7_pii": op7_pii,
     "op8_language_model": op8_language_model,
     "op9_url_filter": op9_url_filter,
