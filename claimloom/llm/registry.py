@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from claimloom.llm import bpe, dartminhash, decontaminate, hnsw, langid, ngram_lm, pii, quality, sharding, url_filter
 from claimloom.llm.common import remainder, table
 from claimloom.llm.url_filter import Rule
@@ -166,6 +167,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_url_filter": op9_url_filter,
     "op10_minhash": op10_minhash,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {"op5_decontamination": OP5_SQL, "op9_url_filter": OP9_SQL}
+
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
