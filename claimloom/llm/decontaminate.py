@@ -239,8 +239,8 @@ def decontaminate(
         if name == text_col:
             return F.col("text").alias(name)
         if name == "n_chars":
-            return F.when(F.col("n_hit") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema[name].dataType).alias(name)
-        return F.col(f"row.`{name}`").alias(name)
+            return F.when(F.col("n_hit") > 0, F.length("text")).otherwise(F.col("row_id.n_chars")).cast(docs.schema[name].dataType).alias(name)
+        return F.col(f"row_id.`{name}`").alias(name)
 
     return kept.select(*[column(c) for c in names])
 
