@@ -51,7 +51,7 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     done = bpe.encode_decode(packed, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, id_col="row")
     return done.select(
         *[F.col(f"doc_id.`{c}`").alias(c) for c in others],
-        F.decode("decoded", F.lit("UTF-8")).alias("text"),
+        F.decode("decoded", "UTF-8").alias("text"),
         F.size("ids").cast("long").alias("n_tokens"),
         "ids",
     )
