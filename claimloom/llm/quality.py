@@ -26,7 +26,8 @@ TRAIN_ROWS = 4000
 KEEP_AT = 0.7
 BUCKETS = 1 << 16
 FACTORS = 8
-EPOCHS = 6
+#: Gradient steps of a fit, each on BATCH documents; a small sample is gone over more often.
+STEPS = 400
 BATCH = 128
 SLICE = 256
 
@@ -124,7 +125,7 @@ class Machine:
         order = np.random.default_rng(11)
         share = float((labels * weights).sum() / weights.sum())
         self.bias = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
-        for _ in range(EPOCHS):
+        for _ in range(-(-STEPS * BATCH // len(rows))):
             shuffled = order.permutation(len(rows))
             for at in range(0, len(rows), BATCH):
                 chosen = shuffled[at : at + BATCH]
