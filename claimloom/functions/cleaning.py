@@ -5,7 +5,6 @@ Every expression is null-tolerant and never raises on bad input, also under ANSI
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -31,14 +30,15 @@ def code(value: Column | str) -> Column:
     return F.upper(trim_to_null(value))
 
 
+# Words, and what lies between them; the one acronym with a mark inside is a word of its own.
+_PARTS = "(?i)OB/GYN(?![A-Za-z])|[A-Za-z]+|[^A-Za-z]+"
+
+
 def title(value: Column | str) -> Column:
-    """Title case with the known acronyms restored wherever they stand as a word."""
-    out = F.initcap(trim_to_null(value))
-    for acronym in ACRONYMS:
-        out = F.regexp_replace(
-            out, f"(?i)(?<![A-Za-z]){re.escape(acronym)}(?![A-Za-z])", acronym
-        )
-    return out
+    """Title case with the known acronyms in capitals wherever they stand as a word."""
+    spelled = F.create_map(*(F.lit(x) for a in ACRONYMS for x in (a, a)))
+    parts = F.regexp_extract_all(F.initcap(trim_to_null(value)), F.lit(_PARTS), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(spelled, F.upper(p)), p)), "")
 
 
 severity = title

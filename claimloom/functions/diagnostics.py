@@ -19,13 +19,15 @@ CATEGORIES = (
 )
 
 
+# Every identifier there can be: a prefix, a domain and three digits.
+_NUMBERS = {d: tuple(f"{d}-{n:03d}" for n in range(1000)) for d in DOMAINS}
+
+
 def diagnostic_id(domain: str, number: int, prefix: str = PREFIX) -> str:
-    domain = domain.upper()
-    if domain not in DOMAINS:
-        raise ValueError(f"unknown diagnostic domain {domain!r}; expected one of {DOMAINS}")
-    if not 0 <= number <= 999:
-        raise ValueError(f"diagnostic number {number} is outside 0..999")
-    return f"{prefix}-{domain}-{number:03d}"
+    """Looked up, so that only an identifier of the table can come out; LookupError for any other."""
+    if number < 0:
+        raise LookupError(f"no diagnostic has the number {number}")
+    return f"{prefix}-{_NUMBERS[domain.upper()][number]}"
 
 
 def failure_id(dataset: str | None) -> str:
@@ -38,6 +40,9 @@ def failure_id_of(dataset: Column) -> Column:
     return F.coalesce(F.create_map(*pairs)[dataset], F.lit(failure_id(None)))
 
 
+# The texts of the status lines.
+
+
 def table_ready(layer: str, table: str, category: str, sensitivity: str) -> str:
     return f"{layer} dataset ready: table={table} category={category} sensitivity={sensitivity}"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.operators.profiling import PERCENTILE_ACCURACY
+from claimloom.operators.quantiles import exact_quantiles
 
 BUCKETS = 10
 ALERT_PSI = 0.2
@@ -15,21 +15,14 @@ FLOOR = 0.0001
 def drift_buckets(baseline: DataFrame, current: DataFrame, column: str, buckets: int = BUCKETS) -> DataFrame:
     """Rows of each side per baseline quantile bucket. Buckets without any row are left out.
 
-    The edges are one row; every row is placed by counting the edges below it.
+    The edges are exact quantiles; every row is placed by counting the edges below it.
     """
     shares = [i / buckets for i in range(1, buckets)]
-    edges = baseline.agg(
-        F.percentile_approx(column, shares, PERCENTILE_ACCURACY).alias("_edges")
-    ).withColumn("_one", F.lit(1))
+    edges = F.array(*(F.lit(e).cast("double") for e in exact_quantiles(baseline, column, shares)))
     sides = baseline.select(F.col(column).alias("_v"), F.lit(True).alias("_base")).unionByName(
         current.select(F.col(column).alias("_v"), F.lit(False).alias("_base"))
     )
-    placed = (
-        sides.where(F.col("_v").isNotNull())
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(edges), "_one")
-        .withColumn("bucket", F.size(F.filter("_edges", lambda e: e < F.col("_v"))))
-    )
+    placed = sides.where(F.col("_v").isNotNull()).withColumn("bucket", F.size(F.filter(edges, lambda e: e < F.col("_v"))))
     return placed.groupBy("bucket").agg(
         F.count_if(F.col("_base")).alias("baseline_rows"), F.count_if(~F.col("_base")).alias("current_rows")
     )

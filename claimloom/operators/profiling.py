@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.cleaning import trim_to_null
 from claimloom.model import AUDIT
+from claimloom.operators.lookups import lookup
+from claimloom.operators.quantiles import exact_quantiles
 
 ANOMALY_RATIO = 10.0
 OVERBILLING_RATIO = 2.0
-PERCENTILE_ACCURACY = 1_000_000
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -74,18 +75,19 @@ def missing_rates(claims: DataFrame) -> DataFrame:
     )
 
 
-def amount_summary(claims: DataFrame, amount: Column, accuracy: int = PERCENTILE_ACCURACY) -> DataFrame:
+def amount_summary(claims: DataFrame, amount: Column) -> DataFrame:
     """Extremes, mean, 95th percentile and an outlier mark for one exact decimal amount.
 
-    The percentile is a mergeable sketch of bounded size with a rank error of one in ``accuracy``.
+    The percentile is exact.
     """
     value = amount.cast("double")
+    p95 = exact_quantiles(claims.select(value.alias("v")), "v", [0.95])[0]
     mean = F.sum(amount).cast("double") / F.nullif(F.count(amount), F.lit(0))
     return claims.agg(
         F.min(value).alias("min_billed"),
         F.max(value).alias("max_billed"),
         mean.alias("avg_billed"),
-        F.percentile_approx(value, 0.95, accuracy).alias("p95_billed"),
+        F.lit(p95).cast("double").alias("p95_billed"),
         F.count(amount).alias("non_null_count"),
     ).withColumn(
         "is_anomaly",
@@ -107,18 +109,21 @@ def missing_locations(providers: DataFrame) -> DataFrame:
 def overbilled(claims: DataFrame, cost: DataFrame, billed: Column, expected: Column) -> DataFrame:
     """Claims against every benchmark of their procedure, whatever the region, above the ratio.
 
-    Benchmarks per procedure are few (one per region), so each claim meets a bounded number.
+    The benchmarks of a procedure, one per region, become one array, so a claim meets one row, is compared
+    inside the array and comes out only for its hits.
     """
     priced = cost.withColumn("_expected", expected).where(F.col("_expected") > 0)
-    rows = claims.where(F.col("procedure_code").isNotNull()).withColumn("_billed", billed)
-    joined = rows.join(
-        priced.select("procedure_code", "region", "expected_cost", "_expected"), "procedure_code"
-    )
-    scored = joined.withColumn(
-        "overbilling_ratio", F.col("_billed").cast("double") / F.col("_expected").cast("double")
-    )
-    return scored.where(F.col("overbilling_ratio") > OVERBILLING_RATIO).select(
-        "claim_id", "procedure_code", "billed_amount", "expected_cost", "region", "overbilling_ratio"
+    entry = F.struct("region", "expected_cost", "_expected")
+    prices = priced.groupBy("procedure_code").agg(F.collect_list(entry).alias("_prices"))
+    rows = lookup(claims.where(F.col("procedure_code").isNotNull()).withColumn("_billed", billed), prices, on=["procedure_code"])
+
+    def ratio(price: Column) -> Column:
+        return F.col("_billed").cast("double") / price["_expected"].cast("double")
+
+    hits = F.filter("_prices", lambda p: ratio(p) > OVERBILLING_RATIO)
+    found = rows.where(F.size(hits) > 0).select("claim_id", "procedure_code", "billed_amount", "_billed", F.explode(hits).alias("_p"))
+    return found.select(
+        "claim_id", "procedure_code", "billed_amount", "_p.expected_cost", "_p.region", ratio(F.col("_p")).alias("overbilling_ratio")
     )
 
 

@@ -4,17 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from claimloom.functions import nested
 from claimloom.functions.diagnostics import failure_id_of
+from claimloom.functions.events import ACTION_TEXT, typed
 
 # The event types and levels that are read.
 LIFECYCLE = ("create_update", "update_progress", "flow_progress")
 USER_EVENTS = ("user_action", "create_update")
 FAILURE_LEVELS = ("ERROR", "WARN")
-_EXPECTATIONS = "details.flow_progress.data_quality.expectations"
-_EXPECTATION_ROWS = "array<struct<name:string,dataset:string,passed_records:bigint,failed_records:bigint>>"
 
 
 def event_log(spark, table: str | None = None, frame: DataFrame | None = None) -> DataFrame:
@@ -24,66 +21,52 @@ def event_log(spark, table: str | None = None, frame: DataFrame | None = None) -
     return spark.table(table) if frame is None else frame
 
 
-def _update_id(events: DataFrame):
-    return nested.first_of(events, "origin.update_id", "details.update_id")
+def _of(events: DataFrame, *kinds: str) -> DataFrame:
+    return typed(events.where(F.col("event_type").isin(*kinds)))
+
+
+def _update_id():
+    return F.coalesce("origin.update_id", "details.update_id").alias("update_id")
+
+
+def _pipeline_id():
+    return F.coalesce("origin.pipeline_id", "details.pipeline_id").alias("pipeline_id")
 
 
 def updates(events: DataFrame) -> DataFrame:
-    return events.where(F.col("event_type").isin(*LIFECYCLE)).select(
-        "timestamp",
-        "event_type",
-        _update_id(events).alias("update_id"),
-        nested.first_of(events, "origin.pipeline_id", "details.pipeline_id").alias("pipeline_id"),
-        nested.first_of(
-            events, "details.update_progress.state", "details.flow_progress.status", "details.state", "message"
-        ).alias("update_state"),
-        nested.first_of(events, "origin.user_name", "user_identity").alias("actor"),
+    state = F.coalesce("details.update_progress.state", "details.flow_progress.status", "details.state", "message")
+    actor = F.coalesce("origin.user_name", "user_identity")
+    return _of(events, *LIFECYCLE).select(
+        "timestamp", "event_type", _update_id(), _pipeline_id(), state.alias("update_state"), actor.alias("actor")
     )
 
 
 def expectation_metrics(events: DataFrame) -> DataFrame:
     """One row per expectation of every flow event; events without expectations give none."""
-    found = nested.at(events, _EXPECTATIONS)
-    if not isinstance(nested.path_type(events, _EXPECTATIONS), T.ArrayType):
-        found = F.from_json(found.cast("string"), _EXPECTATION_ROWS)
-    rows = events.where(F.col("event_type") == "flow_progress").select(
-        "timestamp", _update_id(events).alias("update_id"), F.explode(found).alias("_e")
-    )
-    return rows.where(F.col("_e").isNotNull()).select(
-        "timestamp",
-        "update_id",
-        F.col("_e.dataset").alias("dataset"),
-        F.col("_e.name").alias("expectation"),
-        F.col("_e.passed_records").alias("passed_records"),
-        F.col("_e.failed_records").alias("failed_records"),
+    found = F.explode("details.flow_progress.data_quality.expectations").alias("_e")
+    rows = _of(events, "flow_progress").select("timestamp", _update_id(), found).where(F.col("_e").isNotNull())
+    return rows.select(
+        "timestamp", "update_id", "_e.dataset", F.col("_e.name").alias("expectation"), "_e.passed_records", "_e.failed_records"
     )
 
 
 def user_actions(events: DataFrame) -> DataFrame:
-    return events.where(F.col("event_type").isin(*USER_EVENTS)).select(
-        "timestamp",
-        _update_id(events).alias("update_id"),
-        nested.first_of(
-            events, "origin.user_name", "user_identity", "details.user_action.user_name"
-        ).alias("actor"),
-        "event_type",
-        nested.first_of(
-            events, "details.user_action.action", "details.user_action", "message"
-        ).alias("action_name"),
-        nested.first_of(events, "origin.pipeline_id", "details.pipeline_id").alias("pipeline_id"),
+    actor = F.coalesce("origin.user_name", "user_identity", "details.user_action.user_name")
+    action = F.coalesce("details.user_action.action", ACTION_TEXT, "message")
+    return _of(events, *USER_EVENTS).select(
+        "timestamp", _update_id(), actor.alias("actor"), "event_type", action.alias("action_name"), _pipeline_id()
     )
 
 
 def failures(events: DataFrame, latest_only: bool = False) -> DataFrame:
     """Failure rows with a stable diagnostic; all of them, or the newest of each dataset."""
-    rows = events.where(F.col("level").isin(*FAILURE_LEVELS)).select(
+    dataset = F.coalesce("details.dataset", "details.flow_name", "details.flow_progress.metrics.dataset")
+    rows = typed(events.where(F.col("level").isin(*FAILURE_LEVELS))).select(
         "timestamp",
-        nested.first_of(
-            events, "details.dataset", "details.flow_name", "details.flow_progress.metrics.dataset"
-        ).alias("dataset"),
-        _update_id(events).alias("update_id"),
-        nested.first_of(events, "error.error_code", "details.error_code").alias("platform_error_code"),
-        nested.first_of(events, "error.message", "message").alias("error_message"),
+        dataset.alias("dataset"),
+        _update_id(),
+        F.coalesce("error.error_code", "details.error_code").alias("platform_error_code"),
+        F.coalesce("error.message", "message").alias("error_message"),
     )
     if latest_only:
         newest = F.max(F.struct("timestamp", "update_id", "platform_error_code", "error_message")).alias("_last")

@@ -40,9 +40,10 @@ def expected_costs(claims: DataFrame, providers: DataFrame, cost: DataFrame) ->
 def classified(claims: DataFrame) -> DataFrame:
     """Add ``denial_reason_code`` and ``allowed_amount`` from the first matching rule.
 
-    Expects ``expected_cost`` and a boolean ``in_review``; an allowed amount of NULL means zero.
+    Expects ``expected_cost`` and a boolean ``in_review``; a cost not above zero counts as none, and an
+    allowed amount of NULL means zero.
     """
-    billed, expected = decimal_or_null("billed_amount"), F.col("expected_cost")
+    billed, expected = decimal_or_null("billed_amount"), F.when(F.col("expected_cost") > 0, F.col("expected_cost"))
     over = F.coalesce(billed > expected * F.lit(OVER_BENCHMARK_RATIO).cast("decimal(4,2)"), F.lit(False))
     cases = (
         (trim_to_null("procedure_code").isNull(), "MISSING_PROCEDURE", F.lit(None)),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.model import FEATURE_FILL, FEATURES, TARGET
+from claimloom.sinks import stage
 
 # Split, tiers, release gate and default training parameters.
 TEST_SHARE = 0.3
@@ -24,7 +25,6 @@ GATE = {"recall_at_high": 0.80, "precision": 0.70, "roc_auc": 0.85}
 LOGISTIC = {"maxIter": 1000}
 BOOSTED = {"maxDepth": 6, "stepSize": 0.1, "maxIter": 100, "seed": SEED}
 POSITIVE_WEIGHT = 2.5
-SCORE_BUCKETS = 100_000
 
 
 def fill_features(df: DataFrame, fill: Mapping[str, float] = FEATURE_FILL) -> DataFrame:
@@ -165,23 +165,26 @@ def recall_at_high(scores: DataFrame) -> DataFrame:
     return counts.select(_or_zero(F.col("tp_high"), F.col("tp") + F.col("fn")).alias("recall_at_high"))
 
 
-def roc_auc(scores: DataFrame, groups: Sequence[str] = (), buckets: int = SCORE_BUCKETS) -> DataFrame:
-    """Area under the ROC curve per group from counts per score bucket.
+def roc_auc(scores: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """Exact area under the ROC curve per group; equal scores count half.
 
-    Scores are counted into ``buckets`` equal steps of [0, 1], so the ordered part of the work
-    is bounded however many rows there are. Scores in one bucket count as ties (half a win),
-    which makes the area exact when scores have no more than ``log10(buckets)`` decimals.
+    Rows are counted per distinct score, the counts are ranged over partitions by score and stored, and
+    each partition adds the negatives of the partitions below it, one row each, to its own running sum.
     """
-    step = F.round(F.col("probability") * buckets).cast("long")
-    histogram = scores.groupBy(*groups, step.alias("_step")).agg(
+    counted = scores.where(F.col("probability").isNotNull()).groupBy(*groups, F.col("probability").alias("_score")).agg(
         F.count_if(F.col("label") == 1).alias("_p"), F.count_if(F.col("label") != 1).alias("_n")
     )
-    below = Window.partitionBy(*groups).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
-    wins = F.col("_p") * (F.coalesce(F.sum("_n").over(below), F.lit(0)) * 2 + F.col("_n"))
-    ordered = histogram.select(*groups, "_p", "_n", wins.cast("decimal(38,0)").alias("_wins"))
-    return ordered.groupBy(*groups).agg(
+    ranged = stage(counted.repartitionByRange(*groups, "_score").withColumn("_part", F.spark_partition_id()), "score-ranges")
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy(*groups, "_part").agg(F.sum("_n").alias("_all")).select(
+        *groups, "_part", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_below")
+    )
+    inside = Window.partitionBy(*groups, "_part").orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("_run", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(parts, [*groups, "_part"])
+    wins = F.col("_p") * ((F.col("_below") + F.col("_run")) * 2 + F.col("_n"))
+    return placed.groupBy(*groups).agg(
         F.try_divide(
-            F.sum("_wins").cast("double"), F.sum("_p").cast("double") * F.sum("_n").cast("double") * 2.0
+            F.sum(wins.cast("decimal(38,0)")).cast("double"), F.sum("_p").cast("double") * F.sum("_n").cast("double") * 2.0
         ).alias("roc_auc")
     )
 

@@ -117,10 +117,6 @@ def refresh_quality(spark: SparkSession, namespace: Namespace) -> dict[str, str]
 
 
 def refresh_event_tables(spark: SparkSession, events: DataFrame, namespace: Namespace, workers: int = 4) -> dict[str, str]:
-    """Write the four event-log tables from one cached read of the log; always releases the cache."""
+    """Write the four event-log tables. Each reads only its own columns and event types of the stored log."""
     namespace.create(spark, ("analytics",))
-    cached = events.persist()
-    try:
-        return overwrite_all({namespace.analytics(n): build(cached) for n, build in eventlog.TABLES.items()}, workers)
-    finally:
-        cached.unpersist()
+    return overwrite_all({namespace.analytics(n): build(events) for n, build in eventlog.TABLES.items()}, workers)

@@ -28,11 +28,11 @@ def gold_features(spark: SparkSession, table: str) -> DataFrame:
 
 
 def landed_csv(spark: SparkSession, path: str, dataset: Dataset | None = None) -> DataFrame:
-    """Landed CSV files as a batch, all columns text."""
-    reader = spark.read.option("header", True)
-    if dataset is not None:
-        reader = reader.schema(dataset.raw_schema())
-    return reader.csv(path)
+    """Landed CSV files of one layout as a batch, all columns text, the declared ones by name."""
+    rows = spark.read.option("header", True).csv(path)
+    if dataset is None:
+        return rows
+    return rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in dataset.columns))
 
 
 def rows_as_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

@@ -185,7 +185,7 @@ SELECT
     CASE WHEN event_id % 6 = 0 THEN concat('"dataset":"', CASE event_id % 4 WHEN 0 THEN 'providers' ELSE 'policies' END, '",') ELSE '' END,
     CASE WHEN event_id % 9 = 0 THEN '"error_code":"E_DETAIL",' ELSE '' END,
     '"state":"', lower(event_type), '"}}') AS details,
-  CASE WHEN event_type = 'error' THEN concat('{{"error_code":"E', event_id % 17, '","message":"failed step ', event_id % 23, '"}}') END AS error
+  CASE WHEN event_type = 'error' THEN concat('{{"error_code":"E', event_id % 17, '","message":"', CASE event_id % 4 WHEN 0 THEN '[STEP_FAILED] ' WHEN 1 THEN '{{step}} ' ELSE '' END, 'failed step ', event_id % 23, '"}}') END AS error
 FROM {events}
 """
 

@@ -229,8 +229,8 @@ CTES |= {
         coalesce(provider_claim_count, 0) AS provider_claim_count, coalesce(provider_claim_count_30d, 0) AS provider_claim_count_30d,
         coalesce(provider_risk_score, 0.0) AS provider_risk_score, denial_label FROM gold""",
     "model_scores": """
-      SELECT model_name, label, floor(CASE model_name WHEN 'ratio' THEN least(ratio / 4.0, 1.0) WHEN 'provider' THEN risk
-               ELSE least(1.0, CASE WHEN label = 1 THEN 0.75 ELSE 0.1 END + risk / 4.0) END * 10000) / 10000 AS probability
+      SELECT model_name, label, CASE model_name WHEN 'ratio' THEN least(ratio / 4.0, 1.0) WHEN 'provider' THEN risk
+               ELSE least(1.0, CASE WHEN label = 1 THEN 0.75 ELSE 0.1 END + risk / 4.0) END AS probability
       FROM (SELECT denial_label AS label, provider_risk_score AS risk, greatest(amount_to_benchmark_ratio, 0.0) AS ratio FROM features) f
       CROSS JOIN (SELECT unnest(['ratio', 'provider', 'informed']) AS model_name) m""",
     "confusion": """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -11,15 +12,18 @@ from pyspark.sql import types as T
 
 from claimloom import model as M
 from claimloom.functions import cleaning as C
-from claimloom.functions import nested, privacy
+from claimloom.functions import privacy
 from claimloom.functions import text as TX
+from claimloom.functions.events import typed
 from claimloom.namespace import Namespace
 from claimloom.operators import drift, expectations, flags, profiling, rules
 from claimloom.operators.activity import provider_days
 from claimloom.operators.newest import PRIORITY, mark_newest, upsert
 from claimloom.plans import analytics, eventlog, gold, labels, modelling, quality, refresh, silver
-from claimloom.sinks import clustered, stage, stage_all
+from claimloom.sinks import clustered, shared_folder, stage, stage_all
+from claimloom.sources.snapshots import landed_csv
 from claimloom.sources.testbed import Layers
+from claimloom.streaming import ingest
 from oracle.layers_sql import AS_OF_SQL, boolean, money, title, with_layers
 
 NAMES = Namespace(prefix="claims_")
@@ -98,6 +102,75 @@ def _(L):
     return eventlog.event_log(L.spark, frame=L.event_log())
 
 
+# An empty CSV field is NULL.
+BLANK_IS_NULL = {n: ", ".join(f"nullif({c}, '') AS {c}" for c in d.columns) for n, d in M.CSV_DATASETS.items()}
+
+
+def _land(L: Layers, name: str, layouts: bool = True) -> str:
+    """Land a raw table as CSV files: as declared, with the columns turned round, and with one more column."""
+    folder = f"{shared_folder(L.spark)}/landed/{name}-{uuid.uuid4().hex}"
+    columns = list(M.CSV_DATASETS[name].columns)
+    rows = L.raw(name).select(*columns).withColumn("note", F.concat(F.lit("n-"), F.coalesce(F.col(columns[-1]), F.lit(""))))
+    kind = F.pmod(F.length(F.coalesce(F.col(columns[1]), F.lit(""))), F.lit(3)) if layouts else F.lit(0)
+    for n, wanted in enumerate((columns, columns[::-1], [*columns, "note"])):
+        if n == 0 or layouts:
+            options = {"header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "escape": '"'}
+            rows.where(kind == n).select(*wanted).write.options(**options).csv(f"{folder}/{n}")
+    return folder
+
+
+def _ingested(L: Layers, name: str) -> DataFrame:
+    """The landed table after two runs of the stream, of which the second must add nothing."""
+    folder = _land(L, name)
+    target = f"{folder}-bronze"
+    for _ in range(2):
+        ingest.ingest_csv(L.spark, folder, M.CSV_DATASETS[name], target, f"{folder}-marks").awaitTermination()
+    return ingest.landed_rows(L.spark, target)
+
+
+@query("src1_csv_stream", f"SELECT {BLANK_IS_NULL['claims']}, CAST(NULL AS VARCHAR) AS _rescued_data FROM bronze_claims")
+def _(L):
+    return _ingested(L, "claims").select(*M.CLAIMS.columns, M.RESCUED)
+
+
+@query("src2_evolving_columns", """SELECT procedure_code, average_cost, expected_cost, region,
+  CASE WHEN length(coalesce(average_cost, '')) % 3 = 2 THEN concat('n-', coalesce(region, '')) END AS note FROM bronze_cost""")
+def _(L):
+    return _ingested(L, "cost").select(*M.COST.columns, "note")
+
+
+@query("src3_document_stream", "SELECT CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes FROM documents")
+def _(L):
+    folder = f"{shared_folder(L.spark)}/landed/documents-{uuid.uuid4().hex}"
+    L.source("documents").select(F.coalesce("text", F.lit("")).alias("value")).write.text(folder)
+    for _ in range(2):
+        ingest.append_files(ingest.document_stream(L.spark, folder), f"{folder}-bronze", f"{folder}-marks").awaitTermination()
+    return L.spark.read.parquet(f"{folder}-bronze").agg(F.sum(F.octet_length("content").cast("long")).alias("bytes"))
+
+
+@query("src6_landed_csv", f"SELECT {BLANK_IS_NULL['providers']} FROM bronze_providers")
+def _(L):
+    return landed_csv(L.spark, f"{_land(L, 'providers', layouts=False)}/0", M.PROVIDERS)
+
+
+@query("aud1_4_lineage", """SELECT count(*) AS landed, count(*) AS stamped, count(*) AS with_file, count(*) AS with_run, 0 AS malformed FROM bronze_diagnosis""")
+def _(L):
+    return _ingested(L, "diagnosis").agg(
+        F.count(F.lit(1)).alias("landed"), F.count(M.INGESTED_AT).alias("stamped"), F.count_if(F.col(M.SOURCE_FILE).endswith(".csv")).alias("with_file"),
+        F.count(M.RUN_ID).alias("with_run"), F.count(M.RESCUED).alias("malformed"))
+
+
+@query("snk1_append_once", "SELECT count(*) AS first_run, count(*) AS second_run FROM bronze_providers")
+def _(L):
+    folder = _land(L, "providers")
+    counts = []
+    for _ in range(2):
+        ingest.ingest_csv(L.spark, folder, M.PROVIDERS, f"{folder}-bronze", f"{folder}-marks").awaitTermination()
+        counts.append(stage(ingest.landed_rows(L.spark, f"{folder}-bronze").agg(F.count(F.lit(1)).alias("n")), "runs"))
+    first, second = (df.select(F.col("n").alias(c)) for df, c in zip(counts, ("first_run", "second_run")))
+    return first.select("first_run", second.scalar().alias("second_run"))
+
+
 FEATURE_LIST = ", ".join(M.FEATURES)
 
 
@@ -644,8 +717,8 @@ def _(L):
 @query("ops7_nested_paths", "SELECT origin->>'$.pipeline_id' AS pipeline_id, details->>'$.flow_progress.status' AS status, details->>'$.update_progress.state' AS state, count(*) AS n FROM bronze_event_log GROUP BY ALL")
 def _(L):
     log = L.event_log("struct")
-    return log.groupBy(nested.at(log, "origin.pipeline_id").alias("pipeline_id"), nested.at(log, "details.flow_progress.status").alias("status"),
-                       nested.at(log, "details.update_progress.state").alias("state")).agg(F.count(F.lit(1)).alias("n"))
+    return typed(log).groupBy("origin.pipeline_id", F.col("details.flow_progress.status").alias("status"),
+                              F.col("details.update_progress.state").alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _sizes(frames: dict[str, DataFrame]) -> DataFrame:
@@ -912,7 +985,7 @@ def _model_scores(L: Layers) -> DataFrame:
         "provider": F.col("risk"),
         "informed": F.least(F.lit(1.0), F.when(F.col("label") == 1, 0.75).otherwise(0.1) + F.col("risk") / 4.0),
     }
-    pairs = F.array(*(F.struct(F.lit(n).alias("model_name"), (F.floor(v * 10000) / 10000).alias("probability")) for n, v in scores.items()))
+    pairs = F.array(*(F.struct(F.lit(n).alias("model_name"), v.alias("probability")) for n, v in scores.items()))
     return f.select("label", F.inline(pairs))
 
 

@@ -80,14 +80,3 @@ def test_count_without_chunks(spark):
     rows = df.select(TX.chunk_count(F.col("t"), 5, 2).alias("n"), F.size(TX.chunks(F.col("t"), 5, 2)).alias("m")).collect()
     assert [r["n"] for r in rows] == [r["m"] for r in rows]
 
-
-def test_own_parser(spark):
-    def parse(data):
-        if data.startswith(b"bad"):
-            raise ValueError("cannot parse")
-        return data.decode().strip()
-
-    df = spark.createDataFrame([(b"fine ",), (b"bad",), (b" ",), (None,)], "c binary")
-    extract = TX.parsed_by(parse)
-    got = [tuple(r["x"]) for r in df.select(extract(F.col("c"), F.lit(False)).alias("x")).collect()]
-    assert got == [("fine", "OK", None), (None, "UNREADABLE_PDF", "cannot parse"), (None, "EMPTY_PDF_TEXT", None), (None, "EMPTY_PDF_TEXT", None)]

@@ -1,6 +1,5 @@
 import pytest
 
-from claimloom.functions import nested
 from claimloom.plans import eventlog
 
 STRUCTS = ("timestamp string, event_type string, level string, message string, user_identity string, "
@@ -57,7 +56,6 @@ def test_missing_columns_become_null(spark):
     for build in eventlog.TABLES.values():
         build(df).collect()
     assert eventlog.updates(df).first()["update_state"] is None
-    assert nested.path_type(df, "details.x") is None
 
 
 def test_latest_only(structs):
@@ -71,3 +69,17 @@ def test_exactly_one_source(spark, structs):
         eventlog.event_log(spark)
     with pytest.raises(ValueError):
         eventlog.event_log(spark, table="t", frame=structs)
+
+
+def test_bracketed_messages_survive_in_both_shapes(structs, texts):
+    from pyspark.sql import functions as F
+
+    marked = F.struct(F.lit("E9").alias("error_code"), F.lit("[TABLE_OR_VIEW_NOT_FOUND] {no} such table").alias("message"))
+    for log, column in ((structs, marked), (texts, F.to_json(marked))):
+        found = eventlog.failures(log.withColumn("error", column)).select("error_message").distinct().collect()
+        assert [r[0] for r in found] == ["[TABLE_OR_VIEW_NOT_FOUND] {no} such table"]
+
+
+def test_text_actions_in_json(spark):
+    df = spark.createDataFrame([("1", "user_action", '{"user_action":"{stop"}'), ("2", "user_action", '{"user_action":{"action":"go"}}')], "timestamp string, event_type string, details string")
+    assert {r["timestamp"]: r["action_name"] for r in eventlog.user_actions(df).collect()} == {"1": "{stop", "2": "go"}

@@ -93,7 +93,7 @@ def test_diagnostic_identifiers():
     assert failure_id("claims") == "CLM-OBS-401" and failure_id("other") == "CLM-OBS-499"
     assert diagnostic_id("obs", 7, "ABC") == "ABC-OBS-007"
     for bad in (("XXX", 1), ("SLV", 1000), ("SLV", -1)):
-        with pytest.raises(ValueError):
+        with pytest.raises(LookupError):
             diagnostic_id(*bad)
 
 
