@@ -1,4 +1,4 @@
-"""Left lookups that stay balanced when one key holds a large share of the rows."""
+"""Left lookups of one row per key."""
 
 from __future__ import annotations
 
@@ -7,52 +7,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
-_SALT = "_salt"
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Spark's size estimate of ``df``; None where it cannot be read. Runs no job.
-
-    Taken before column pruning, so it errs on the large side and costs no optimizer run.
-    """
-    try:
-        return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
-    except Exception:
-        return None
-
-
-def broadcast_limit(df: DataFrame) -> int:
-    """The session's own broadcast threshold in bytes (-1 when broadcasting is off)."""
-    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    text = text.strip().lower()
-    if text.endswith("b") and not text[:-1].lstrip("-").isdigit():
-        text = text[:-1]
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    if text[-1] in units:
-        return int(text[:-1]) * units[text[-1]]
-    return int(text.rstrip("b"))
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    size = estimated_bytes(df)
-    return size is not None and size <= broadcast_limit(df)
-
 
 def lookup(
     rows: DataFrame,
     table: DataFrame,
     on: Mapping[str, str] | Sequence[str],
-    salts: int = SALTS,
     null_safe: Sequence[str] = (),
 ) -> DataFrame:
     """``rows`` left-joined with ``table``, which has one row per key.
 
     ``on`` maps a column of ``rows`` to its column in ``table``; the key columns of ``table``
-    do not appear in the result. A table below the broadcast threshold is left to Catalyst,
-    which broadcasts it. A larger one is repeated ``salts`` times and the rows of every key,
-    NULL keys included, are dealt over that many join partitions, so a key with a third of
-    all rows is shared by many tasks; AQE may split those further.
+    do not appear in the result. Whether the table is broadcast is left to Spark: pass a stored
+    table, so that its size is known and not guessed. Where both sides are shuffled, the adaptive
+    plan cuts the rows of a hot key (NULL included) into as many tasks as their measured size asks
+    for and repeats only that key's row of the table; see ``session.SETTINGS``.
     """
     pairs = dict(on) if isinstance(on, Mapping) else {c: c for c in on}
     right_key = {left: f"_key_{i}" for i, left in enumerate(pairs)}
@@ -61,10 +29,4 @@ def lookup(
     for left, new in right_key.items():
         equal = F.col(left).eqNullSafe(F.col(new)) if left in null_safe else F.col(left) == F.col(new)
         condition = condition & equal
-    if salts > 1 and not fits_broadcast(table):
-        rows = rows.withColumn(_SALT, F.pmod(F.spark_partition_id(), F.lit(salts)))
-        copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        right = right.withColumn("_table_salt", copies)
-        condition = condition & (F.col(_SALT) == F.col("_table_salt"))
-    joined = rows.join(right, condition, "left")
-    return joined.drop(*right_key.values(), _SALT, "_table_salt")
+    return rows.join(right, condition, "left").drop(*right_key.values())

@@ -52,8 +52,8 @@ def mark_newest(
     Only the largest order value of each contested key is shuffled and joined back, instead of
     sorting every key's rows in one window task. With ``store_contest`` those values are written
     first, from a pass over the key and order columns alone. Their true size is then known: while
-    it is below the broadcast threshold the full rows are not shuffled at all, beyond it they
-    meet in the salted join. Use it for large inputs of wide rows; it runs a job at once.
+    it is below the broadcast threshold the full rows are not shuffled at all, beyond it the two
+    are joined by a shuffle. Use it for large inputs of wide rows; it runs a job at once.
     """
     order = list(order) if order is not None else [F.col(c) for c in NEWEST_FIRST]
     added_id = row_id not in df.columns
@@ -70,7 +70,7 @@ def mark_newest(
     )
     if store_contest:
         contested = stage(contested, "contested")
-    marked = lookup(df, contested, on=keys, salts=8).withColumn(
+    marked = lookup(df, contested, on=keys).withColumn(
         PRIORITY, F.when(position < F.col("_newest"), 2).otherwise(1)
     )
     return marked.drop("_newest", *([row_id] if added_id else []))

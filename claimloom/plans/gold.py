@@ -18,14 +18,18 @@ def _or_false(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def benchmark_join(claims: DataFrame, providers: DataFrame, diagnosis: DataFrame, cost: DataFrame) -> DataFrame:
-    """Claims with provider, diagnosis and the cost benchmark of the provider's region."""
-    rows = lookup(claims, providers.select("provider_id", "specialty", "location"), on=["provider_id"])
+def _with_benchmarks(rows: DataFrame, diagnosis: DataFrame, cost: DataFrame) -> DataFrame:
     rows = lookup(rows, diagnosis.select("diagnosis_code", "category", "severity"), on=["diagnosis_code"])
     benchmarks = cost.select("procedure_code", "region", "average_cost", "expected_cost")
     return lookup(rows, benchmarks, on={"procedure_code": "procedure_code", "location": "region"})
 
 
+def benchmark_join(claims: DataFrame, providers: DataFrame, diagnosis: DataFrame, cost: DataFrame) -> DataFrame:
+    """Claims with provider, diagnosis and the cost benchmark of the provider's region."""
+    rows = lookup(claims, providers.select("provider_id", "specialty", "location"), on=["provider_id"])
+    return _with_benchmarks(rows, diagnosis, cost)
+
+
 def claim_features(joined: DataFrame) -> DataFrame:
     """Features that need nothing but the claim and its joined references."""
     specialty, category = F.lower("specialty"), F.lower("category")
@@ -55,11 +59,11 @@ def gold_features(
     """The 34-column feature table.
 
     ``claims`` is read for the features and again for the provider activity, so pass a stored
-    table. All provider-level features ride on one small frame with a row per provider and
-    day: the claims are matched to it once, whatever the number of such features.
+    table. Everything about providers, their attributes too, rides on one frame with a row per
+    provider and day, so the claims meet providers once, then diagnosis, then cost.
     """
     activity = provider_days(claims, TRAILING_DAYS, approx_diagnosis_count)
-    base = claim_features(benchmark_join(claims.drop(*OUTCOME_COLUMNS), providers, diagnosis, cost))
-    rows = lookup(base, activity, on=["provider_id", "date"], salts=8, null_safe=["date"])
-    stamped = rows.withColumn(GOLD_PROCESSED_AT, F.current_timestamp() if as_of is None else as_of)
+    people = lookup(activity, providers.select("provider_id", "specialty", "location"), on=["provider_id"])
+    rows = lookup(claims.drop(*OUTCOME_COLUMNS), people, on=["provider_id", "date"], null_safe=["date"])
+    stamped = claim_features(_with_benchmarks(rows, diagnosis, cost)).withColumn(GOLD_PROCESSED_AT, F.current_timestamp() if as_of is None else as_of)
     return stamped.select(*GOLD_COLUMNS)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimloom.functions.cleaning import decimal_or_null, trim_to_null
 from claimloom.model import MONEY
 from claimloom.operators.lookups import lookup
+from claimloom.sinks import stage
 
 # The rule thresholds and the columns the rules write.
 OVER_BENCHMARK_RATIO = "2.5"
@@ -65,9 +66,9 @@ def classified(claims: DataFrame) -> DataFrame:
 
 
 def in_review(claims: DataFrame, review_ids: DataFrame) -> DataFrame:
-    """Mark the claims whose id is in the review table."""
-    ids = review_ids.select("claim_id").distinct().withColumn("_review", F.lit(True))
-    marked = lookup(claims, ids, on=["claim_id"], salts=4)
+    """Mark the claims whose id is in the review table. The ids are stored first, so their size is known."""
+    ids = stage(review_ids.select("claim_id").distinct(), "review_ids").withColumn("_review", F.lit(True))
+    marked = lookup(claims, ids, on=["claim_id"])
     return marked.withColumn("in_review", F.col("_review").isNotNull()).drop("_review")
 
 
@@ -89,11 +90,10 @@ def relabelled(claims: DataFrame, providers: DataFrame, cost: DataFrame, review_
 def label_drift(claims: DataFrame, recomputed: DataFrame, keys: tuple[str, ...] = ("claim_id",)) -> DataFrame:
     """Claims whose stored labels differ from the recomputed ones, NULLs compared as values.
 
-    Both sides are as large as the claims, so neither is repeated for salting; AQE splits a
-    skewed key.
+    Both sides are as large as the claims; the adaptive plan splits a skewed key.
     """
     fresh = recomputed.select(*keys, *(F.col(c).alias(f"_new_{c}") for c in LABELS))
-    both = lookup(claims.select(*keys, *LABELS), fresh, on=list(keys), salts=1)
+    both = lookup(claims.select(*keys, *LABELS), fresh, on=list(keys))
     changed = [F.when(~F.col(c).eqNullSafe(F.col(f"_new_{c}")), F.lit(c)) for c in LABELS]
     return (
         both.select(*keys, F.array_compact(F.array(*changed)).alias("changed_columns"))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.operators.lookups import estimated_bytes
-
 # HotSpot never compiles a method above 8,000 bytecodes. A wide projection fused into one
 # larger method would run interpreted, several times slower than split generated code.
-SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+# A join whose hot key is cut into several tasks may need one more exchange after it; take it.
+SETTINGS = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
 SMALL_INPUT = 1 << 30
 
 
@@ -19,6 +21,14 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Spark's size estimate of a scan; None where it cannot be read. Runs no job."""
+    try:
+        return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+    except Exception:
+        return None
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a small input evenly over the cores.
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from claimloom.model import FEATURES, GOLD_COLUMNS
 from claimloom.operators.activity import provider_days
+from claimloom.operators.lookups import lookup
 from claimloom.plans import gold
 
 CLAIMS = ("claim_id string, patient_id string, provider_id string, diagnosis_code string, procedure_code string, billed_amount decimal(18,2), "
@@ -83,3 +84,34 @@ def test_no_claims(spark):
 
 def test_features_are_in_the_table():
     assert set(FEATURES) <= set(GOLD_COLUMNS) and len(FEATURES) == 13
+
+
+def test_claims_are_shuffled_three_times_at_most(spark, small_broadcasts_off):
+    """Exchanges below a join with the allowed columns carry whole claims: provider and day, diagnosis, cost."""
+    claims = spark.createDataFrame([], "claim_id string, patient_id string, provider_id string, diagnosis_code string, procedure_code string, "
+                                       "billed_amount decimal(18,2), date date, is_denied boolean")
+    providers = spark.createDataFrame([], "provider_id string, specialty string, location string")
+    diagnosis = spark.createDataFrame([], "diagnosis_code string, category string, severity string")
+    cost = spark.createDataFrame([], "procedure_code string, region string, average_cost decimal(18,2), expected_cost decimal(18,2)")
+    rows = gold._with_benchmarks(lookup(claims, lookup(provider_days(claims, 30), providers, ["provider_id"]), ["provider_id", "date"], ["date"]), diagnosis, cost)
+    assert rows.columns.count("provider_id") == 1
+    joins = str(rows._jdf.queryExecution().optimizedPlan().toString()).count("Join LeftOuter")
+    assert joins == 5  # three of claims; two of provider-days
+
+
+def test_a_hot_key_is_split(spark, small_broadcasts_off):
+    from claimloom.session import configure
+
+    keys = ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in zip(keys, ("256k", "256k", "16")):
+            spark.conf.set(k, v)
+        configure(spark)
+        rows = spark.range(600_000, numPartitions=8).selectExpr("if(id % 3 = 0, -1, id % 5000) AS k", "uuid() AS v")
+        table = spark.range(-1, 5000).selectExpr("id AS k", "id AS x")
+        sizes = [r["n"] for r in lookup(rows, table, on=["k"]).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.max("v")).collect()]
+        assert sum(sizes) == 600_000 and max(sizes) <= 100_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
