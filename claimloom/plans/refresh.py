@@ -10,7 +10,7 @@ from claimloom.functions.diagnostics import table_ready
 from claimloom.model import ALL_DATASETS, GOLD_PHI, POLICIES
 from claimloom.namespace import Namespace, properties, set_properties
 from claimloom.plans import analytics, eventlog, gold, quality, silver
-from claimloom.sinks import overwrite, overwrite_all, stage
+from claimloom.sinks import overwrite, overwrite_all, scratch, stage
 from claimloom.sources.snapshots import bronze_snapshot
 
 SILVER_DATASETS = ("providers", "diagnosis", "cost", "claims", "policy_chunks")
@@ -22,6 +22,11 @@ def read_bronze(spark: SparkSession, namespace: Namespace) -> dict[str, DataFram
 
 def refresh_silver(spark: SparkSession, bronze: Mapping[str, DataFrame], namespace: Namespace) -> None:
     """Validate every dataset once into a stage, then write its trusted and quarantine tables from it."""
+    with scratch(spark):
+        _write_silver(spark, bronze, namespace)
+
+
+def _write_silver(spark: SparkSession, bronze: Mapping[str, DataFrame], namespace: Namespace) -> None:
     now = F.lit(spark.sql("SELECT current_timestamp() AS t").first()["t"])
     validated = {
         "claims": silver.validated_claims(bronze["claims"], bronze["providers"], bronze["diagnosis"], now),
@@ -60,7 +65,8 @@ def refresh_gold(spark: SparkSession, namespace: Namespace) -> str:
     features = gold.gold_features(*(tables[n] for n in ("claims", "providers", "diagnosis", "cost")))
     namespace.create(spark, ("gold",))
     # Cutting ranges samples the frame first; stored, it is computed once.
-    table = overwrite(stage(features, "gold_features"), namespace.gold("claim_features"), ("claim_id",))
+    with scratch(spark):
+        table = overwrite(stage(features, "gold_features"), namespace.gold("claim_features"), ("claim_id",))
     comment = table_ready("Gold", table, "gold_pipeline", "SENSITIVE")
     set_properties(spark, table, properties("SENSITIVE", GOLD_PHI, "gold"), comment)
     return table

@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,14 +35,41 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[app]
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+_open = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end of the block, the stages that this thread wrote inside it.
+
+    Frames that read them must have been written out by then. A stage with ``keep`` belongs to the
+    block around this one, if there is any.
+    """
+    stack = _open.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once and read it back, so that later uses scan files instead of recomputing.
 
     The stage lies in the shared folder, so losing an executor costs nothing, and column pruning
-    and filters reach its scans.
+    and filters reach its scans. It goes with the :func:`scratch` block it was written in.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage/{name}-{uuid.uuid4().hex}"
+    stack = _open.__dict__.get("stack", [])
+    if len(stack) > keep:
+        stack[-1 - keep].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -70,7 +99,8 @@ def overwrite(df: DataFrame, table: str, cluster: Sequence[str] = ()) -> str:
 
 def replace_self(df: DataFrame, table: str, cluster: Sequence[str] = ()) -> str:
     """Replace ``table`` with a frame that reads it: written aside first, then swapped in."""
-    return overwrite(stage(df, table.replace(".", "_")), table, cluster)
+    with scratch(df.sparkSession):
+        return overwrite(stage(df, table.replace(".", "_")), table, cluster)
 
 
 def append(df: DataFrame, table: str) -> str:

@@ -10,6 +10,7 @@ them. ``{name}`` stands for a source table.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -234,11 +235,15 @@ class Layers:
         self.spark, self.folder = configure(spark), folder
         self.as_of = F.to_timestamp(F.lit(AS_OF))
         self._frames: dict[tuple, DataFrame] = {}
+        self._lock, self._locks = Lock(), {}
 
     def _once(self, key: tuple, build) -> DataFrame:
-        if key not in self._frames:
-            self._frames[key] = build()
-        return self._frames[key]
+        with self._lock:
+            own = self._locks.setdefault(key, Lock())
+        with own:
+            if key not in self._frames:
+                self._frames[key] = build()
+            return self._frames[key]
 
     def source(self, table: str) -> DataFrame:
         def read() -> DataFrame:
