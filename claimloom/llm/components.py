@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.sinks import stage
+from claimloom.sinks import scratch, stage
 
 #: Rows of a table of ids that may be broadcast: some 20 MB. Larger tables are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
@@ -44,33 +44,33 @@ def components(links: DataFrame) -> DataFrame:
     chain. Every round is an aggregate with map-side combine and a join, written to the shared folder, so
     a lost executor costs one round at most. Nothing but two numbers a round reaches the driver.
     """
-    spark = links.sparkSession
-    edges = stage(
-        links.filter(F.col("a") != F.col("b"))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct(),
-        "links",
-    )
-    before = None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == before or now[0] == 0:
-            break
-        before = tuple(now)
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = (
-            both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .filter(F.col("a") != F.col("b")).distinct()
+    with scratch(links.sparkSession):
+        edges = stage(
+            links.filter(F.col("a") != F.col("b"))
+            .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+            .distinct(),
+            "links",
         )
-        large = stage(large, "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(least.select("a", F.col("m").alias("b")))
-            .filter(F.col("a") != F.col("b")).distinct()
-        )
-        edges = stage(small, "small-star")
-    found = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    tops = edges.select(F.col("b").alias("node")).distinct()
-    return stage(found.unionByName(tops.select("node", F.col("node").alias("component"))), "components")
+        before = None
+        while True:
+            now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if tuple(now) == before or now[0] == 0:
+                break
+            before = tuple(now)
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+            large = (
+                both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+                .filter(F.col("a") != F.col("b")).distinct()
+            )
+            large = stage(large, "large-star")
+            least = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = (
+                large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+                .unionByName(least.select("a", F.col("m").alias("b")))
+                .filter(F.col("a") != F.col("b")).distinct()
+            )
+            edges = stage(small, "small-star")
+        found = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        tops = edges.select(F.col("b").alias("node")).distinct()
+        return stage(found.unionByName(tops.select("node", F.col("node").alias("component"))), "components", keep=True)

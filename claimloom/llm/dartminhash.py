@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from claimloom.llm.components import Forest, components, sized
 from claimloom.llm.decontaminate import _FOLD
 from claimloom.llm.hashing import batches, mix, word_hashes
-from claimloom.sinks import stage
+from claimloom.sinks import scratch, stage
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -180,6 +180,18 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     the former have their own id as class, the latter none, and both are kept. Rows that share an id are one
     document with several texts. Whole texts are read; ids must be whole numbers; other columns are not read.
     """
+    with scratch(docs.sparkSession):
+        total = _linked(docs, id_col, text_col)
+    named_rows = docs.select(F.col(id_col).alias("doc_id"), F.col(id_col).cast("long").alias("node"))
+    return named_rows.join(total, "node", "left").select(
+        "doc_id",
+        F.coalesce("component", "node").alias("class_id"),
+        (F.col("node").isNull() | (F.coalesce("component", "node") == F.col("node"))).alias("kept"),
+    )
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, component of every document with a word; all stages but the result go when it is written."""
     rows = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     named = rows.filter(F.col("node").isNotNull())
     signed = stage(
@@ -226,10 +238,4 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         "component",
     )
     found = stage(dealt.join(held, "node").groupBy("key", "i", "j").applyInArrow(_block_links, "a long, b long"), "dart-more-links")
-    total = components(equal.unionByName(starred).unionByName(found))
-    named_rows = docs.select(F.col(id_col).alias("doc_id"), F.col(id_col).cast("long").alias("node"))
-    return named_rows.join(total, "node", "left").select(
-        "doc_id",
-        F.coalesce("component", "node").alias("class_id"),
-        (F.col("node").isNull() | (F.coalesce("component", "node") == F.col("node"))).alias("kept"),
-    )
+    return stage(components(equal.unionByName(starred).unionByName(found)), "dart-groups", keep=True)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from claimloom.llm.components import Forest, components
 from claimloom.llm.hashing import mix
-from claimloom.sinks import stage
+from claimloom.sinks import scratch, stage
 
 COSINE = 0.9
 #: A shard holds at most about so many classes; there are at least ``SHARDS``.
@@ -283,8 +283,19 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     without an id, whose component is null. Only vectors of equal length are compared. Rows that repeat
     both id and vector are one vector, put out each. Ids must be whole numbers; other columns are not read.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(id_col).cast("long").alias("node"), F.col(vector_col).cast("array<double>").alias("vector"))
+    with scratch(vectors.sparkSession):
+        per_node = _linked(rows)
+    return rows.select("vec_id", "node").join(per_node, "node", "left").select(
+        "vec_id",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("component", "node").alias("component_id"),
+        (F.col("node").isNull() | (F.coalesce("component", "node") == F.col("node"))).alias("kept"),
+    )
+
+
+def _linked(rows: DataFrame) -> DataFrame:
+    """node, n_links, component of every sound vector; all stages but the result go when it is written."""
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     sound = rows.filter(F.col("node").isNotNull() & F.col("vector").isNotNull() & ~bad & F.exists("vector", lambda x: x != 0))
     sound = sound.select("node", F.transform("vector", lambda x: x + F.lit(0.0)).alias("vector"))
@@ -319,9 +330,4 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         .groupBy("node").agg(F.max(F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
         .join(total, "node", "left")
     )
-    return rows.select("vec_id", "node").join(per_node, "node", "left").select(
-        "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "node").alias("component_id"),
-        (F.col("node").isNull() | (F.coalesce("component", "node") == F.col("node"))).alias("kept"),
-    )
+    return stage(per_node, "vector-groups", keep=True)
