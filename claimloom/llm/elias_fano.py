@@ -79,22 +79,43 @@ class EliasFano:
         high = self._select(index, True) - index
         return (high.astype(np.uint64) << np.uint64(self.width)) | unpacked(self.low, self.width, index)
 
-    def successor(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the first value not below each wanted one (n if none), and that value."""
-        wanted = wanted.astype(np.uint64)
+    def _seek(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the first value not below each wanted one, and whether it has the same high part.
+
+        Zeros end the buckets of equal high parts, so two of them bound the bucket of a wanted value, and a
+        binary search over the bucket's low parts does the rest.
+        """
         high = (wanted >> np.uint64(self.width)).astype(np.int64)
-        # Zeros end the buckets of high parts: bucket h lies between zero h - 1 and zero h.
+        low = wanted & np.uint64((1 << self.width) - 1)
         first = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - high + 1, 0)
-        index, value = first.copy(), np.zeros(len(wanted), np.uint64)
-        left = np.arange(len(wanted))
-        while len(left):
-            left = left[index[left] < self.n]
-            found = self.at(index[left])
-            value[left] = found
-            low = found < wanted[left]
-            left = left[low]
-            index[left] += 1
+        end = self._select(high, False) - high
+        left, right = first, end.copy()
+        open_ = np.flatnonzero(left < right)
+        while len(open_):
+            middle = (left[open_] + right[open_]) >> 1
+            below = unpacked(self.low, self.width, middle) < low[open_]
+            left[open_] = np.where(below, middle + 1, left[open_])
+            right[open_] = np.where(below, right[open_], middle)
+            open_ = open_[left[open_] < right[open_]]
+        return left, left < end
+
+    def successor(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the first value not below each wanted one (n if none), and that value."""
+        index, _ = self._seek(wanted.astype(np.uint64))
+        value = np.zeros(len(wanted), np.uint64)
+        inside = np.flatnonzero(index < self.n)
+        value[inside] = self.at(index[inside])
         return index, value
 
+    def place(self, wanted: np.ndarray) -> np.ndarray:
+        """Index of each wanted value, -1 where its successor is another value."""
+        wanted = wanted.astype(np.uint64)
+        index, same = self._seek(wanted)
+        found = np.flatnonzero(same)
+        equal = unpacked(self.low, self.width, index[found]) == wanted[found] & np.uint64((1 << self.width) - 1)
+        out = np.full(len(wanted), -1)
+        out[found[equal]] = index[found[equal]]
+        return out
+
     def arrays(self) -> dict[str, np.ndarray]:
         return {"low": self.low, "high": self.high, "counts": self.counts}

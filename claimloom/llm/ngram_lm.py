@@ -177,10 +177,7 @@ class Trie:
 
     def find(self, level: EliasFano, keys: np.ndarray) -> np.ndarray:
         """Place of each key, -1 where the level does not hold it."""
-        if not level.n:
-            return np.full(len(keys), -1)
-        index, value = level.successor(keys)
-        return np.where((index < level.n) & (value == keys), index, -1)
+        return level.place(keys) if level.n else np.full(len(keys), -1)
 
 
 def _answers(table: pa.Table) -> pa.Table:
