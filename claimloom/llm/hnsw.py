@@ -26,7 +26,7 @@ COSINE = 0.9
 SHARD_ROWS, SHARDS = 50_000, 8
 BLOCK_ROWS = 8192
 LINKS = 16
-BUILD_BEAM, BEAM = 48, 32
+BUILD_BEAM, BEAM = 48, 8
 STEP_ROWS = 512
 AUDIT_ROWS, AUDIT_RECALL = 256, 0.995
 
