@@ -10,6 +10,7 @@ INGESTED_AT = "_ingested_at"
 SOURCE_FILE = "_source_file"
 RUN_ID = "_pipeline_run_id"
 RESCUED = "_rescued_data"
+UNKNOWN_LOCATION = "Unknown"
 ROW_ID = "_row_id"
 PROCESSED_AT = "_silver_processed_at"
 QUALITY_FLAGS = "_data_quality_flags"

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.cleaning import trim_to_null
-from claimloom.model import AUDIT
+from claimloom.model import AUDIT, ROW_ID
 from claimloom.operators.lookups import lookup
 from claimloom.operators.quantiles import exact_quantiles
 
@@ -106,6 +106,11 @@ def missing_locations(providers: DataFrame) -> DataFrame:
     ).withColumn("missing_location_pct", _share(F.col("missing_location"), F.col("providers")))
 
 
+def missing_location_rows(providers: DataFrame, top: int = 10) -> DataFrame:
+    """The first providers without a location, by id, for a look at them."""
+    return providers.where(_missing("location")).orderBy("provider_id", *(c for c in (ROW_ID,) if c in providers.columns)).limit(top)
+
+
 def overbilled(claims: DataFrame, cost: DataFrame, billed: Column, expected: Column) -> DataFrame:
     """Claims against every benchmark of their procedure, whatever the region, above the ratio.
 

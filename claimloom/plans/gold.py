@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.cleaning import ratio
-from claimloom.model import GOLD_COLUMNS, GOLD_PROCESSED_AT, HIGH_COST_RATIO, LOW_EXPECTED_COST, TRAILING_DAYS
+from claimloom.model import GOLD_COLUMNS, GOLD_PROCESSED_AT, HIGH_COST_RATIO, LOW_EXPECTED_COST, TRAILING_DAYS, UNKNOWN_LOCATION
 from claimloom.operators.activity import provider_days
 from claimloom.operators.lookups import lookup
 
@@ -30,8 +30,14 @@ def benchmark_join(claims: DataFrame, providers: DataFrame, diagnosis: DataFrame
     return _with_benchmarks(rows, diagnosis, cost)
 
 
-def claim_features(joined: DataFrame) -> DataFrame:
-    """Features that need nothing but the claim and its joined references."""
+def claim_features(joined: DataFrame, imputed_is_missing: bool = False) -> DataFrame:
+    """Features that need nothing but the claim and its joined references.
+
+    With ``imputed_is_missing`` a location that cleaning had to fill counts as missing too.
+    """
+    no_location = F.col("location").isNull()
+    if imputed_is_missing:
+        no_location = no_location | (F.col("location") == UNKNOWN_LOCATION)
     specialty, category = F.lower("specialty"), F.lower("category")
     return joined.withColumns({
         "is_procedure_missing": F.col("procedure_code").isNull(),
@@ -42,7 +48,7 @@ def claim_features(joined: DataFrame) -> DataFrame:
             (F.col("severity") == "High") & (F.col("expected_cost") < LOW_EXPECTED_COST)
         ),
         "specialty_diagnosis_mismatch": specialty != category,
-        "provider_location_missing": F.col("location").isNull(),
+        "provider_location_missing": no_location,
         "diagnosis_severity_encoded": F.when(F.col("severity") == "High", 1).when(F.col("severity") == "Low", 0),
         "denial_label": _or_false(F.col("is_denied")).cast("int"),
     }).withColumn("high_cost_flag", _or_false(F.col("amount_to_benchmark_ratio") >= HIGH_COST_RATIO))

@@ -15,7 +15,7 @@ from claimloom.functions import cleaning as C
 from claimloom.functions import text as TX
 from claimloom.functions.diagnostics import document_line
 from claimloom.model import CLAIMS, COST, DIAGNOSIS, INGESTED_AT, MONEY, POLICIES, PROCESSED_AT
-from claimloom.model import PROVIDERS, QUALITY_FLAGS, ROW_ID, RUN_ID, SOURCE_FILE
+from claimloom.model import PROVIDERS, QUALITY_FLAGS, ROW_ID, RUN_ID, SOURCE_FILE, UNKNOWN_LOCATION
 from claimloom.operators.lookups import lookup
 from claimloom.operators.newest import PRIORITY, mark_newest
 from claimloom.operators.rules import Rule, judge, quarantined, trusted
@@ -137,7 +137,7 @@ def validated_providers(providers: DataFrame, as_of: Column | None = None) -> Da
         PROCESSED_AT: _stamp(as_of),
         QUALITY_FLAGS: C.quality_flags({"provider_location_unknown": F.col("location").isNull()}),
     })
-    filled = cleaned.withColumn("location", F.coalesce("location", F.lit("Unknown")))
+    filled = cleaned.withColumn("location", F.coalesce("location", F.lit(UNKNOWN_LOCATION)))
     return judge(mark_newest(filled, PROVIDERS.keys), PROVIDER_RULES)
 
 

@@ -853,6 +853,18 @@ def _(L):
     return profiling.missing_locations(L.raw("providers"))
 
 
+@query("prf7_missing_location_rows", """SELECT provider_id, doctor_name, specialty, location, _row_id FROM bronze_providers
+  WHERE location IS NULL OR trim(location) = '' ORDER BY provider_id NULLS FIRST, _row_id LIMIT 10""")
+def _(L):
+    return profiling.missing_location_rows(L.raw("providers")).select("provider_id", "doctor_name", "specialty", "location", "_row_id")
+
+
+@query("gld9_imputed_location_missing", "SELECT claim_id, CAST(coalesce(location = 'Unknown', true) AS INT) AS provider_location_missing FROM gold")
+def _(L):
+    joined = gold.benchmark_join(L.trusted("claims"), *L.references())
+    return gold.claim_features(joined, imputed_is_missing=True).select("claim_id", "provider_location_missing")
+
+
 _OVER_SQL = """SELECT claim_id, c.procedure_code, CAST(billed_amount AS DOUBLE) AS billed_amount, CAST(expected_cost AS DOUBLE) AS expected_cost, region,
   CAST(billed_amount AS DOUBLE) / CAST(expected_cost AS DOUBLE) AS overbilling_ratio
   FROM t_claims c JOIN t_cost k ON c.procedure_code = k.procedure_code
