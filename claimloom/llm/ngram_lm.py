@@ -1,6 +1,6 @@
 """Language-model scores of whole texts from an Elias-Fano n-gram trie that the corpus fills.
 
-Counting and scoring share one exchange. Texts are read in batches of some million tokens. A batch is
+Counting and scoring share one exchange. Texts are read in batches of about two million tokens. A batch is
 reduced to its distinct words and distinct word pairs with their training counts, sorted by the hash of the
 first word, and cut into shards of that hash: this one message adds to the counts and asks for them. A shard
 adds up the messages of all batches, builds its part of the trie, looks every asked n-gram up in it and
@@ -37,9 +37,10 @@ from claimloom.llm.hashing import batches, mix, word_hashes
 from claimloom.sinks import stage
 
 DISCOUNT = 0.75
-BATCH_TOKENS = 1 << 22
+BATCH_TOKENS = 1 << 21
+SLICE = 512
 #: Bytes of text for each shard of the trie.
-SHARD_BYTES = 1 << 25
+SHARD_BYTES = 1 << 24
 EDGE = mix(np.array([0x45444745], np.uint64))[0]
 #: Steps of the quantised logarithms: 0 stands for a probability of zero.
 STEP = 12.0 / 65534
@@ -95,9 +96,9 @@ def _texts(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, pa.A
             digest = int((batch.table * mix(np.arange(len(batch.table), dtype=np.uint64))).sum()) ^ len(batch.places)
         return f"{TaskContext.get().partitionId()}:{number}:{digest:x}", pa.concat_arrays(ids), pa.concat_arrays(train), batch
 
-    for row in rows:
+    for row in (whole.slice(at, SLICE) for whole in rows for at in range(0, whole.num_rows, SLICE)):
         texts = row.column("text").to_pylist()
-        for first, last in batches(texts):
+        for first, last in batches(texts, 1 << 20):
             words, offsets = word_hashes([t.encode("utf-8", "surrogatepass").translate(_FOLD) for t in texts[first:last]])
             held += [words[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
             ids.append(row.column("doc_id").slice(first, last - first))
