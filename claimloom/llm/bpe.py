@@ -194,14 +194,14 @@ def _ids_before(part: dict, boundary: int) -> int:
     return part["cuts"][list(part["ends"]).index(boundary)]
 
 
-_codecs: dict[int, Codec] = {}
+_last: list = [None, None, None]
 
 
 def _codec(shared, pattern: str) -> Codec:
-    if id(shared) not in _codecs:
-        _codecs.clear()
-        _codecs[id(shared)] = Codec(shared.value, pattern)
-    return _codecs[id(shared)]
+    """The codec of the worker's last task, if it was for the same broadcast table and pattern."""
+    if _last[0] is not shared or _last[1] != pattern:
+        _last[:] = shared, pattern, Codec(shared.value, pattern)
+    return _last[2]
 
 
 def encode_decode(
