@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.common import with_id
+
 CHUNK = 1 << 15
 OVERLAP = 512
 GUARD = 4
@@ -27,8 +29,8 @@ CACHE = 1 << 18
 SLICE = 256
 LONG_PIECE = 256
 
-_SCHEMA = "doc_id {}, ids array<int>, decoded binary"
-_PART = "doc_id {}, digest string, chunk int, start long, last boolean, text string"
+_SCHEMA = "ids array<int>, decoded binary"
+_PART = "digest string, chunk int, start long, last boolean, text string"
 _ENCODED = _PART + ", ends array<long>, cuts array<long>, ids array<int>"
 
 
@@ -213,7 +215,9 @@ def encode_decode(
     other column is read, so names cannot clash. The ranks, a vocabulary of fixed size, are read on the
     driver and broadcast.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    def schema(ddl: str):
+        return with_id(docs, id_col, "doc_id", ddl)
+
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -258,14 +262,14 @@ def encode_decode(
         key = group.column("doc_id").combine_chunks().slice(0, 1)
         return pa.Table.from_batches([_result(pa.concat_arrays([key] * copies), [ids] * copies, codec)])
 
-    short = rows.filter(F.length("text") <= chunk).mapInArrow(whole, _SCHEMA.format(kind))
+    short = rows.filter(F.length("text") <= chunk).mapInArrow(whole, schema(_SCHEMA))
     long = (
         rows.filter(F.length("text") > chunk)
-        .mapInArrow(chunks, _PART.format(kind))
+        .mapInArrow(chunks, schema(_PART))
         .repartition("digest", "chunk")
-        .mapInArrow(pieces, _ENCODED.format(kind))
+        .mapInArrow(pieces, schema(_ENCODED))
         .groupBy("doc_id", "digest")
-        .applyInArrow(close, _SCHEMA.format(kind))
+        .applyInArrow(close, schema(_SCHEMA))
     )
     return short.unionByName(long)
 

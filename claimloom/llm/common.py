@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +17,6 @@ def remainder(doc_id: str | Column, divisor: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(divisor))
 
 
-def whole_text(text: str = "text") -> Column:
-    """The text column with null read as empty."""
-    return F.coalesce(F.col(text), F.lit(""))
+def with_id(docs: DataFrame, id_col: str, name: str, ddl: str) -> T.StructType:
+    """Schema of ``name``, of the type of the id column whatever that is, and the columns of ``ddl``."""
+    return T.StructType([T.StructField(name, docs.schema[id_col].dataType), *T.StructType.fromDDL(ddl).fields])

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.common import with_id
+
 WINDOW = 10
 MAX_COVERAGE = 0.5
 #: Words of test items in one automaton; a larger benchmark gets several, walked one after another.
@@ -170,7 +172,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, window: int) -> list[A
     return [Automaton(b, window) for b in blocks if b]
 
 
-_SCHEMA = "row_id {}, text string, n_words long, n_hit long, hits array<struct<first:int,end:int>>, items array<string>"
+_SCHEMA = "text string, n_words long, n_hit long, hits array<struct<first:int,end:int>>, items array<string>"
 
 
 def scan(
@@ -184,7 +186,6 @@ def scan(
     fewer words than the window must occur whole; null and wordless items never occur. Repeated rows come
     out each; an empty benchmark hits nothing. Only id and text are read, so other names cannot clash.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     context = docs.sparkSession.sparkContext
     shared = [context.broadcast(a) for a in _blocks(items, item_id, item_text, window)]
     rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text"))
@@ -218,7 +219,7 @@ def scan(
                     ["row_id", "text", "n_words", "n_hit", "hits", "items"],
                 )
 
-    return rows.mapInArrow(match, _SCHEMA.format(kind))
+    return rows.mapInArrow(match, with_id(docs, id_col, "row_id", _SCHEMA))
 
 
 def decontaminate(

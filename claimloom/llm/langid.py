@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.common import with_id
+
 DIMENSIONS = 512
 GRAM = 3
 #: Symbols of the folded alphabet: 0 is the gap between words, the rest are letters.
@@ -190,7 +192,6 @@ def predict(
     other than id and text are not read.
     """
     langs, prototypes = model
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,4 +209,4 @@ def predict(
                     [part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"]
                 )
 
-    return rows.mapInArrow(score, f"doc_id {kind}, lang_pred string, score double")
+    return rows.mapInArrow(score, with_id(docs, id_col, "doc_id", "lang_pred string, score double"))

@@ -31,7 +31,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from claimloom.llm.common import with_id
 from claimloom.llm.elias_fano import EliasFano, packed, unpacked
 from claimloom.llm.hashing import batches, mix, word_hashes
 from claimloom.sinks import stage
@@ -48,7 +50,7 @@ STEP = 12.0 / 65534
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b in (0x20, 9, 10, 11, 12, 13) else b for b in range(256))
 
 _ASK = "shard int, batch string, contexts binary, successors binary, words binary, counts binary"
-_TEXTS = "batch string, ids array<{}>, train array<boolean>, lengths array<int>, distinct long, words binary"
+_TEXTS = "train array<boolean>, lengths array<int>, distinct long, words binary"
 _ANSWER = "batch string, shard int, counts binary, spread binary, chances binary, tokens long, types long"
 
 
@@ -256,7 +258,6 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     gives an empty result; other columns are not read. Texts are read twice and must come in the same
     partitions both times, as stored tables do; if they do not, the run fails instead of mixing answers.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train")
     )
@@ -265,12 +266,14 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     asked = rows.mapInArrow(lambda it: _asked(it, shards), _ASK)
     answers = stage(asked.groupBy("shard").applyInArrow(_answers, _ANSWER), "trie-answers")
     tokens, types = (x or 0 for x in answers.agg(F.sum("tokens"), F.sum("types")).first())
-    streams = rows.mapInArrow(_streams, _TEXTS.format(kind))
+    id_type = docs.schema[id_col].dataType
+    head = [T.StructField("batch", T.StringType()), T.StructField("ids", T.ArrayType(id_type))]
+    streams = rows.mapInArrow(_streams, T.StructType([*head, *T.StructType.fromDDL(_TEXTS).fields]))
     return (
         streams.groupBy("batch")
         .cogroup(answers.drop("tokens", "types").groupBy("batch"))
         .applyInArrow(
             lambda t, a: _scored(t, a, tokens, types),
-            f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
+            with_id(docs, id_col, "doc_id", "train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"),
         )
     )

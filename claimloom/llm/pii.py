@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.common import with_id
+
 KINDS = ("email", "ip", "card", "phone", "secret")
 SLICE = 256
 
@@ -327,7 +329,7 @@ def replaced(text: str, spans: list[tuple[int, int, str, bool]]) -> str:
     return "".join([*kept, text[at:]])
 
 
-_SCHEMA = "row_id {}, text string, spans array<struct<start:int,end:int,kind:string,base:boolean>>"
+_SCHEMA = "text string, spans array<struct<start:int,end:int,kind:string,base:boolean>>"
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: bool = False) -> DataFrame:
@@ -337,7 +339,6 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask:
     empty ones, have no spans. Texts of any length are read whole. Repeated rows come out each; other
     columns are not read.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(Field())
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("base", pa.bool_())])
 
@@ -359,7 +360,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask:
                 )
 
     rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(search, _SCHEMA.format(kind))
+    return rows.mapInArrow(search, with_id(docs, id_col, "row_id", _SCHEMA))
 
 
 def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -239,6 +239,7 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 def test_pipeline_takes_odd_and_empty_documents(spark, odd, tmp_path):
+    odd = odd.withColumnRenamed("row", "odd: name").withColumnRenamed("node", "text.text")
     for docs in (odd, odd.limit(0)):
         for name, apply in corpus_pipeline.STAGES:
             docs = apply(spark, docs, SMALL)
