@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.common import with_id
+
 TRAIN_ROWS = 4000
 KEEP_AT = 0.7
 BUCKETS = 1 << 16
@@ -151,7 +153,7 @@ class Machine:
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, metadata: Sequence[str]) -> DataFrame:
     numbers = [F.col(c).cast("double").alias(f"m{i}") for i, c in enumerate(metadata)]
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *numbers)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *numbers)
 
 
 def train(
@@ -179,14 +181,14 @@ def train(
         for batch in batches:
             numbers = [batch.column(f"m{i}").to_pylist() for i in range(count)]
             texts = batch.column("text").to_pylist()
-            made = [maker.of(t, [n[i] for n in numbers]) for i, t in enumerate(texts)]
+            made = [maker.of(t or "", [n[i] for n in numbers]) for i, t in enumerate(texts)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("order"), batch.column("label"), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1] for m in made], pa.list_(pa.float32()))],
+                [batch.column("order"), batch.column("label"), pa.array([m[0].astype(np.int32) for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float32()))],
                 ["order", "label", "index", "value"],
             )
 
     found = (
-        rows.mapInArrow(extract, "order long, label int, index array<long>, value array<float>")
+        rows.mapInArrow(extract, "order long, label int, index array<int>, value array<float>")
         .orderBy("order").limit(2 * bound).toArrow().sort_by("order")
     )
     if found.num_rows == 0:
@@ -194,7 +196,7 @@ def train(
         return machine
     label = found.column("label").to_numpy()
     index, value = found.column("index").combine_chunks(), found.column("value").combine_chunks()
-    pairs = [(index[i].values.to_numpy(), value[i].values.to_numpy()) for i in range(len(label))]
+    pairs = [(index[i].values.to_numpy().astype(np.int64), value[i].values.to_numpy()) for i in range(len(label))]
     share = {c: sizes.get(c, 0) / max(1, int((label == c).sum())) for c in (0, 1)}
     weights = np.where(label == 1, share[1], share[0]).astype(np.float32)
     machine.fit(pairs, label.astype(np.float32), weights / weights.mean())
@@ -202,16 +204,17 @@ def train(
 
 
 def score(
-    docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", metadata: Sequence[str] = ()
+    docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", metadata: Sequence[str] = (),
+    with_text: bool = False,
 ) -> DataFrame:
-    """doc_id and score (0 to 1) for each row of ``docs``.
+    """doc_id and score (0 to 1) for each row of ``docs``, and its text between them if asked for.
 
     Null and empty texts are scored by the statistics of an empty text; null metadata has a bucket of its
     own. Repeated rows come out each; other columns are not read.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     count = len(metadata)
+    carried = ["doc_id", "text"] if with_text else ["doc_id"]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker, model = Features(count), shared.value
@@ -219,11 +222,13 @@ def score(
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 numbers = [part.column(f"m{i}").to_pylist() for i in range(count)]
-                made = [maker.of(t, [n[i] for n in numbers]) for i, t in enumerate(part.column("text").to_pylist())]
+                made = [maker.of(t or "", [n[i] for n in numbers]) for i, t in enumerate(part.column("text").to_pylist())]
                 if not made:
                     continue
                 starts = np.concatenate([[0], np.cumsum([len(m[0]) for m in made])[:-1]])
                 scores = model.score(np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made]), starts)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
+                columns = [part.column(c) for c in carried]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(scores)], [*carried, "score"])
 
-    return _rows(docs, id_col, text_col, metadata).mapInArrow(apply, f"doc_id {kind}, score double")
+    schema = with_id(docs, id_col, "doc_id", "text string, score double" if with_text else "score double")
+    return _rows(docs, id_col, text_col, metadata).mapInArrow(apply, schema)

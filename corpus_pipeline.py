@@ -23,9 +23,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the quality machine, fitted on the labels, does not reject."""
     metadata = [c for c in ("n_chars",) if c in docs.columns]
     machine = quality.train(docs, table(spark, sf_dir, "labels"), metadata=metadata)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", *metadata)
-    scored = quality.score(packed, machine, id_col="row", metadata=metadata)
-    return scored.filter(F.col("score") >= quality.KEEP_AT).select(*[F.col(f"doc_id.`{c}`").alias(c) for c in docs.columns])
+    # The text travels beside the other columns, not within them, so it is sent once.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "text", *metadata)
+    kept = quality.score(packed, machine, id_col="row", metadata=metadata, with_text=True).filter(F.col("score") >= quality.KEEP_AT)
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"doc_id.`{c}`").alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
