@@ -25,7 +25,7 @@ from claimloom.llm.common import with_id
 CHUNK = 1 << 15
 OVERLAP = 512
 GUARD = 4
-CACHE = 1 << 18
+CACHE = 1 << 17
 SLICE = 256
 LONG_PIECE = 256
 
