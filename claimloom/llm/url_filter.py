@@ -137,7 +137,8 @@ def judge(
     shapes = sorted({r.shape for r in rules})
     cut = [candidate(F.col("host"), F.col("path"), *shape) for shape in shapes]
     seen = rows.select(F.explode(F.array(*cut)).alias("key")).filter(F.col("key").isNotNull())
-    listed = spark.createDataFrame([(r.key, r.verdict != default) for r in rules], "key string, other boolean")
+    entries = [F.struct(F.lit(r.key).alias("key"), F.lit(r.verdict != default).alias("other")) for r in rules]
+    listed = spark.range(1).select(F.inline(F.array(*entries)))
     universe = stage(
         seen.select("key", F.lit(False).alias("listed"), F.lit(False).alias("other"))
         .unionByName(listed.select("key", F.lit(True).alias("listed"), "other"))
