@@ -43,7 +43,7 @@ def _beam(graph: np.ndarray, vectors: np.ndarray, queries: np.ndarray, start: np
     near = np.full((len(queries), width), -np.inf, np.float32)
     take = min(width, start.shape[1])
     nodes[:, :take] = start[:, :take]
-    near[:, :take] = np.where(nodes[:, :take] >= 0, np.einsum("qkd,qd->qk", vectors[nodes[:, :take]], queries), -np.inf)
+    near[:, :take] = np.where(nodes[:, :take] >= 0, (vectors[nodes[:, :take]] @ queries[:, :, None])[..., 0], -np.inf)
     met[rows[:, None], nodes[:, :take]] = True
     spent = nodes < 0
     while True:
@@ -57,7 +57,7 @@ def _beam(graph: np.ndarray, vectors: np.ndarray, queries: np.ndarray, start: np
         around = graph[nodes[live, best[live]]]
         fresh = ~met[live[:, None], around]
         met[live[:, None], around] = True
-        reach = np.einsum("qkd,qd->qk", vectors[around], queries[live])
+        reach = (vectors[around] @ queries[live][:, :, None])[..., 0]
         reach[~fresh] = -np.inf
         # Only queries that met something better than the worst of their beam change.
         better = np.flatnonzero((reach > near[live].min(1)[:, None]).any(1))
@@ -77,7 +77,8 @@ def _chosen(vectors: np.ndarray, nodes: np.ndarray, near: np.ndarray, many: int)
     """Up to ``many`` neighbours a row: first those nearer to the row than to a chosen one, then the nearest left."""
     nodes = nodes[:, : 3 * many]
     near = near[:, : 3 * many]
-    among = np.einsum("qid,qjd->qij", vectors[nodes], vectors[nodes])
+    held = vectors[nodes]
+    among = held @ held.transpose(0, 2, 1)
     picked = np.zeros(nodes.shape, bool)
     for i in range(nodes.shape[1]):
         closest = np.where(picked, among[:, i, :], -np.inf).max(1)
@@ -154,7 +155,7 @@ class Graph:
             extra = np.where(np.arange(width) < count[:, None], source[np.minimum(place, len(source) - 1)], -1)
             extra = np.where((extra[:, :, None] == graph[some][:, None, :]).any(2), -1, extra)
             nodes = np.concatenate([graph[some], extra], axis=1)
-            near = np.where(nodes >= 0, np.einsum("qkd,qd->qk", vectors[nodes], vectors[some]), -np.inf)
+            near = np.where(nodes >= 0, (vectors[nodes] @ vectors[some][:, :, None])[..., 0], -np.inf)
             best = np.argsort(-near, axis=1, kind="stable")
             nodes, near = np.take_along_axis(nodes, best, 1), np.take_along_axis(near, best, 1)
             graph[some] = _chosen(vectors, nodes, near, many)
@@ -230,7 +231,8 @@ def found_links(graph: Graph, exact: np.ndarray, queries: np.ndarray, threshold:
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     """Unit vectors in double precision from a column of equal-length lists."""
-    values = np.stack([np.asarray(v, np.float64) for v in column.to_pylist()])
+    lists = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
     values = values / np.abs(values).max(axis=1, keepdims=True)
     return values / np.linalg.norm(values, axis=1, keepdims=True)
 
