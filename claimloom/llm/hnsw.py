@@ -3,21 +3,27 @@
 Vectors are dealt over shards by hash. A shard's graph has layers: each vector is in the bottom one and, by
 its hash, in a few above, which are ever smaller. A search goes down the layers and keeps a beam of the best
 vectors met. Many searches move in step, so the work is array operations. Blocks of queries meet every
-shard. In each meeting a sample of the queries is also compared with the whole shard, and the beam is
-widened until it finds nearly all their links; a beam full of links is widened anyway. Links are verified in
-double precision. A meeting puts out counts and a spanning forest of its links, never all pairs.
+shard.
+
+Before that, a sample of all queries is compared with every whole shard, and its links to other vectors are
+added up per shard. A shard's beam is the narrowest that finds nearly all of them, and only if they are many
+enough to show it; a shard without such a beam is compared whole with every query, and so is a query whose
+beam is full of links. Links are verified in double precision. A meeting puts out counts and a spanning
+forest of its links, never all pairs.
 
 Vectors with equal components are one class, so copies do not crowd the graphs.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.components import Forest, components
+from claimloom.llm.components import Forest, components, sized
 from claimloom.llm.hashing import mix
 from claimloom.sinks import scratch, stage
 
@@ -26,9 +32,13 @@ COSINE = 0.9
 SHARD_ROWS, SHARDS = 50_000, 8
 BLOCK_ROWS = 8192
 LINKS = 16
-BUILD_BEAM, BEAM = 48, 8
-STEP_ROWS = 512
-AUDIT_ROWS, AUDIT_RECALL = 256, 0.995
+BUILD_BEAM = 48
+#: Beams that are tried, in order. Past the last one a search costs more than the whole shard.
+BEAMS = (32, 64, 128, 256)
+STEP_ROWS, STEP_NODES = 512, 4096
+#: The sample is this share of all classes, at least so many; a beam is judged on at least so many links.
+AUDIT_SHARE, AUDIT_ROWS = 0.04, 4096
+AUDIT_LINKS, AUDIT_RECALL = 1000, 0.995
 
 
 def _beam(graph: np.ndarray, vectors: np.ndarray, queries: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,45 +196,61 @@ class Graph:
         return new
 
 
-def found_links(graph: Graph, exact: np.ndarray, queries: np.ndarray, threshold: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) of all links found, verified in double precision; ``exact`` and ``queries`` are unit vectors."""
+def _slack(dimension: int) -> float:
+    """How far a similarity in single precision may be off."""
+    return max(1e-5, (dimension + 4) * 2.0**-23)
+
+
+def _own(asking: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """The place of each query among the sorted ``nodes``, -1 where it is not one of them."""
+    place = np.searchsorted(nodes, asking).clip(max=len(nodes) - 1)
+    return np.where(nodes[place] == asking, place, -1)
+
+
+def audit(graph: Graph, queries: np.ndarray, own: np.ndarray, width: int, threshold: float = COSINE) -> tuple[int, int]:
+    """Links from ``queries`` to vectors other than themselves, and how many of these beams of ``width`` find.
+
+    Queries with full beams are left out: they are compared with the whole shard anyway.
+    """
+    asked = queries.astype(np.float32)
+    low = np.float32(threshold - _slack(queries.shape[1]))
+    wanted = got = 0
+    for at in range(0, len(asked), STEP_ROWS):
+        nodes, near = graph.search(asked[at : at + STEP_ROWS], width)
+        judged = np.flatnonzero(near[:, -1] < low)
+        self_ = own[at : at + STEP_ROWS][judged]
+        row, column = np.nonzero(near[judged] >= low)
+        got += int((nodes[judged[row], column] != self_[row]).sum())
+        for first in range(0, len(graph.vectors), STEP_NODES):
+            true = (asked[at + judged] @ graph.vectors[first : first + STEP_NODES].T) >= low
+            inside = np.flatnonzero((self_ >= first) & (self_ < first + STEP_NODES))
+            true[inside, self_[inside] - first] = False
+            wanted += int(true.sum())
+    return wanted, got
+
+
+def found_links(graph: Graph, exact: np.ndarray, queries: np.ndarray, width: int, threshold: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) of all links found by beams of ``width``, verified in double precision; width 0 compares all.
+
+    ``exact`` and ``queries`` are unit vectors. A full beam may hide links, so its query is compared with all too.
+    """
     asked = queries.astype(np.float32)
-    slack = np.float32(threshold - 1e-5)
-    sample = np.linspace(0, len(queries) - 1, min(len(queries), AUDIT_ROWS)).astype(int)
-    true = (asked[sample] @ graph.vectors.T) >= slack
-    width = BEAM
-    out_query, out_node = [], []
-    left = np.arange(len(queries))
-    audited = True
-    while len(left):
-        full = []
-        hit_query, hit_node = [], []
-        for at in range(0, len(left), STEP_ROWS):
-            some = left[at : at + STEP_ROWS]
+    low = np.float32(threshold - _slack(queries.shape[1]))
+    out_query, out_node = [np.zeros(0, int)], [np.zeros(0, int)]
+    for at in range(0, len(asked), STEP_ROWS):
+        whole = some = np.arange(at, min(at + STEP_ROWS, len(asked)))
+        if 0 < width < len(graph.vectors):
             nodes, near = graph.search(asked[some], width)
-            row, column = np.nonzero(near >= slack)
-            hit_query.append(some[row])
-            hit_node.append(nodes[row, column])
-            if width < len(graph.vectors):
-                full.append(some[near[:, -1] >= slack])
-        query, node = np.concatenate(hit_query), np.concatenate(hit_node)
-        full = np.concatenate(full) if full else np.zeros(0, int)
-        if audited and width < len(graph.vectors):
-            # Beams full of links are widened below; the audit asks whether the others miss any.
-            judged = ~np.isin(sample, full)
-            wanted = int(true[judged].sum())
-            got = int(np.isin(query, sample[judged]).sum())
-            if got < AUDIT_RECALL * wanted:
-                width *= 2
-                continue
-            audited = False
-        keep = ~np.isin(query, full)
-        out_query.append(query[keep])
-        out_node.append(node[keep])
-        left = full
-        width *= 2
-    query = np.concatenate(out_query) if out_query else np.zeros(0, int)
-    node = np.concatenate(out_node) if out_node else np.zeros(0, int)
+            full = near[:, -1] >= low
+            row, column = np.nonzero((near >= low) & ~full[:, None])
+            out_query.append(some[row])
+            out_node.append(nodes[row, column])
+            whole = some[full]
+        for first in range(0, len(graph.vectors) if len(whole) else 0, STEP_NODES):
+            row, column = np.nonzero((asked[whole] @ graph.vectors[first : first + STEP_NODES].T) >= low)
+            out_query.append(whole[row])
+            out_node.append(first + column)
+    query, node = np.concatenate(out_query), np.concatenate(out_node)
     cosine = np.einsum("kd,kd->k", queries[query], exact[node]) if len(query) else np.zeros(0)
     return query[cosine >= threshold], node[cosine >= threshold]
 
@@ -250,15 +276,31 @@ def _build(group: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([row], schema=pa.schema(list(zip(row, kinds))))
 
 
+def _opened(graphs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph, int]:
+    row = {c: graphs.column(c)[0].as_py() for c in ("dimension", "nodes", "copies", "vectors", "graph", "width")}
+    nodes, copies = np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["copies"], np.int64)
+    exact = np.frombuffer(row["vectors"], np.float64).reshape(len(nodes), row["dimension"])
+    return nodes, copies, exact, Graph.of_bytes(exact.astype(np.float32), row["graph"]), row["width"]
+
+
+def _audit(graphs: pa.Table, sample: pa.Table) -> pa.Table:
+    counted = []
+    if graphs.num_rows and sample.num_rows:
+        nodes, _, _, graph, width = _opened(graphs)
+        if width < len(nodes):
+            own = _own(sample.column("node").to_numpy(), nodes)
+            wanted, got = audit(graph, _matrix(sample.column("vector")), own, width)
+            counted.append({"dimension": graphs.column("dimension")[0].as_py(), "shard": graphs.column("shard")[0].as_py(), "wanted": wanted, "got": got})
+    kinds = [("dimension", pa.int32()), ("shard", pa.int32()), ("wanted", pa.int64()), ("got", pa.int64())]
+    return pa.Table.from_pylist(counted, schema=pa.schema(kinds))
+
+
 def _meet(graphs: pa.Table, block: pa.Table) -> pa.Table:
     if not graphs.num_rows or not block.num_rows:
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-    row = {c: graphs.column(c)[0].as_py() for c in ("dimension", "nodes", "copies", "vectors", "graph")}
-    nodes, copies = np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["copies"], np.int64)
-    exact = np.frombuffer(row["vectors"], np.float64).reshape(len(nodes), row["dimension"])
-    graph = Graph.of_bytes(exact.astype(np.float32), row["graph"])
+    nodes, copies, exact, graph, width = _opened(graphs)
     asking = block.column("node").to_numpy()
-    query, node = found_links(graph, exact, _matrix(block.column("vector")))
+    query, node = found_links(graph, exact, _matrix(block.column("vector")), width)
     other = asking[query] != nodes[node]
     query, node = query[other], node[other]
     counts = np.bincount(query, copies[node], len(asking)).astype(np.int64)
@@ -278,6 +320,38 @@ def _meet(graphs: pa.Table, block: pa.Table) -> pa.Table:
     )
 
 
+def _every(n: int):
+    return F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
+
+
+def _beams(graphs: DataFrame, classes: DataFrame, count: int, shards: int) -> DataFrame:
+    """dimension, shard, width of the shards whose beam has shown that it finds nearly all links."""
+    key = ["dimension", "shard"]
+    share = min(1.0, max(AUDIT_SHARE, AUDIT_ROWS / max(1, count)))
+    parts = max(1, math.ceil(share * count / BLOCK_ROWS))
+    picked = classes.filter(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sample = stage(picked.withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(parts)).cast("int")), "vector-sample")
+    asked = sample.withColumn("shard", _every(shards)).select(*key, "part", "node", "vector")
+    shown, left = None, graphs
+    for width in BEAMS:
+        counted = stage(
+            left.withColumn("width", F.lit(width)).withColumn("part", _every(parts)).groupBy(*key, "part")
+            .cogroup(asked.groupBy(*key, "part"))
+            .applyInArrow(_audit, "dimension int, shard int, wanted long, got long")
+            .groupBy(*key).agg(F.sum("wanted").alias("wanted"), F.sum("got").alias("got")),
+            "vector-audit",
+        )
+        judged = counted.filter(F.col("wanted") >= AUDIT_LINKS)
+        good = judged.filter(F.col("got") >= AUDIT_RECALL * F.col("wanted")).select(*key, F.lit(width).alias("width"))
+        shown = good if shown is None else shown.unionByName(good)
+        # Wider beams are tried only where links are many enough to judge them.
+        poor = judged.filter(F.col("got") < AUDIT_RECALL * F.col("wanted")).select(*key)
+        if poor.isEmpty():
+            break
+        left = left.join(sized(poor), key, "left_semi")
+    return shown
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors``.
 
@@ -314,11 +388,12 @@ def _linked(rows: DataFrame) -> DataFrame:
         dealt.groupBy("dimension", "shard").applyInArrow(_build, "dimension int, shard int, nodes binary, copies binary, vectors binary, graph binary"),
         "vector-graphs",
     )
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
-    asked = classes.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
+    beams = sized(_beams(graphs, classes, count, shards))
+    ready = graphs.join(beams, ["dimension", "shard"], "left").withColumn("width", F.coalesce("width", F.lit(0)))
+    asked = classes.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", _every(shards))
     key = ["dimension", "shard", "block"]
     met = stage(
-        graphs.withColumn("block", every(blocks)).groupBy(*key)
+        ready.withColumn("block", _every(blocks)).groupBy(*key)
         .cogroup(asked.select(*key, "node", "vector").groupBy(*key))
         .applyInArrow(_meet, "a long, b long, n long"),
         "vector-links",

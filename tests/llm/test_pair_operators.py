@@ -168,6 +168,52 @@ def test_graph_recall_and_round_trip():
     assert np.array_equal(again.search(vectors[:20], 16)[0], graph.search(vectors[:20], 16)[0])
 
 
+def _families(rng, many, size, dimension, noise):
+    base = np.repeat(rng.standard_normal((many, dimension)), size, axis=0)
+    vectors = base / np.linalg.norm(base, axis=1, keepdims=True) + noise * rng.standard_normal(base.shape)
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+def test_beam_is_judged_by_links_to_other_vectors():
+    rng = np.random.default_rng(8)
+    nodes = np.arange(6000)
+    vectors = _families(rng, 1500, 4, 32, 0.03)[rng.permutation(6000)]
+    graph = hnsw.Graph(vectors.astype(np.float32), nodes)
+    near = vectors @ vectors.T >= hnsw.COSINE
+    np.fill_diagonal(near, False)
+    wanted, got = hnsw.audit(graph, vectors, hnsw._own(nodes, nodes), hnsw.BEAMS[0])
+    assert wanted == near.sum() and got >= hnsw.AUDIT_RECALL * wanted
+    # Vectors without links give no evidence, though each finds itself.
+    alone = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    assert hnsw.audit(hnsw.Graph(alone.astype(np.float32), nodes[:64]), alone, nodes[:64], hnsw.BEAMS[0]) == (0, 0)
+
+
+def test_shard_without_evidence_is_compared_whole(monkeypatch):
+    rng = np.random.default_rng(9)
+    vectors = np.concatenate([rng.standard_normal((1200, 32)), _families(rng, 40, 3, 32, 0.03)])
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    graph = hnsw.Graph(vectors.astype(np.float32), np.arange(len(vectors)))
+    wanted, _ = hnsw.audit(graph, vectors, np.arange(len(vectors)), hnsw.BEAMS[0])
+    assert 0 < wanted < hnsw.AUDIT_LINKS
+    # Width 0 is a shard whose beam nothing vouches for: its graph is not asked.
+    monkeypatch.setattr(hnsw.Graph, "search", None)
+    query, node = hnsw.found_links(graph, vectors, vectors, 0)
+    near = vectors @ vectors.T >= hnsw.COSINE
+    assert sorted(zip(query.tolist(), node.tolist())) == [tuple(p) for p in np.argwhere(near).tolist()]
+
+
+def test_production_beam_on_a_large_shard(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARDS", 1)
+    vectors = _families(np.random.default_rng(10), 1500, 4, 32, 0.03)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    seen = []
+    monkeypatch.setattr(hnsw, "sized", lambda df: seen.extend(df.collect()) or df)
+    found = {r["vec_id"]: r["n_links"] for r in hnsw.near_duplicates(frame).collect()}
+    assert [r["width"] for r in seen if "width" in r] and all(r["width"] >= hnsw.BEAMS[0] for r in seen if "width" in r)
+    truth = brute_links(np.arange(len(vectors)), vectors)
+    assert sum(found.values()) >= hnsw.AUDIT_RECALL * sum(n for n, _ in truth.values())
+
+
 def test_vector_edges(spark):
     rows = [
         (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [float("nan"), 1.0]),
