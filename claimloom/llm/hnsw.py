@@ -17,6 +17,7 @@ Vectors with equal components are one class, so copies do not crowd the graphs.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ BUILD_BEAM = 48
 #: Beams that are tried, in order. Past the last one a search costs more than the whole shard.
 BEAMS = (32, 64, 128, 256)
 STEP_ROWS, STEP_NODES = 512, 4096
+VERIFY_ROWS = 1 << 16
 #: The sample is this share of all classes, at least so many; a beam is judged on at least so many links.
 AUDIT_SHARE, AUDIT_ROWS = 0.04, 4096
 AUDIT_LINKS, AUDIT_RECALL = 1000, 0.995
@@ -229,30 +231,37 @@ def audit(graph: Graph, queries: np.ndarray, own: np.ndarray, width: int, thresh
     return wanted, got
 
 
-def found_links(graph: Graph, exact: np.ndarray, queries: np.ndarray, width: int, threshold: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) of all links found by beams of ``width``, verified in double precision; width 0 compares all.
+def found_links(graph: Graph, exact: np.ndarray, queries: np.ndarray, width: int, threshold: float = COSINE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks (query, node) of all links found by beams of ``width``, ordered by query; width 0 compares all.
 
     ``exact`` and ``queries`` are unit vectors. A full beam may hide links, so its query is compared with all too.
+    Similarities too near to the threshold for single precision are taken again in double. A block holds at
+    most ``STEP_ROWS`` * ``STEP_NODES`` links.
     """
     asked = queries.astype(np.float32)
-    low = np.float32(threshold - _slack(queries.shape[1]))
-    out_query, out_node = [np.zeros(0, int)], [np.zeros(0, int)]
+    slack = _slack(queries.shape[1])
+    low, high = np.float32(threshold - slack), np.float32(threshold + slack)
+
+    def sound(query: np.ndarray, node: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = near >= high
+        unsure = np.flatnonzero(~keep)
+        for at in range(0, len(unsure), VERIFY_ROWS):
+            some = unsure[at : at + VERIFY_ROWS]
+            keep[some] = np.einsum("kd,kd->k", queries[query[some]], exact[node[some]]) >= threshold
+        return query[keep], node[keep]
+
     for at in range(0, len(asked), STEP_ROWS):
         whole = some = np.arange(at, min(at + STEP_ROWS, len(asked)))
         if 0 < width < len(graph.vectors):
             nodes, near = graph.search(asked[some], width)
             full = near[:, -1] >= low
             row, column = np.nonzero((near >= low) & ~full[:, None])
-            out_query.append(some[row])
-            out_node.append(nodes[row, column])
+            yield sound(some[row], nodes[row, column], near[row, column])
             whole = some[full]
         for first in range(0, len(graph.vectors) if len(whole) else 0, STEP_NODES):
-            row, column = np.nonzero((asked[whole] @ graph.vectors[first : first + STEP_NODES].T) >= low)
-            out_query.append(whole[row])
-            out_node.append(first + column)
-    query, node = np.concatenate(out_query), np.concatenate(out_node)
-    cosine = np.einsum("kd,kd->k", queries[query], exact[node]) if len(query) else np.zeros(0)
-    return query[cosine >= threshold], node[cosine >= threshold]
+            near = asked[whole] @ graph.vectors[first : first + STEP_NODES].T
+            row, column = np.nonzero(near >= low)
+            yield sound(whole[row], first + column, near[row, column])
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -300,16 +309,25 @@ def _meet(graphs: pa.Table, block: pa.Table) -> pa.Table:
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
     nodes, copies, exact, graph, width = _opened(graphs)
     asking = block.column("node").to_numpy()
-    query, node = found_links(graph, exact, _matrix(block.column("vector")), width)
-    other = asking[query] != nodes[node]
-    query, node = query[other], node[other]
-    counts = np.bincount(query, copies[node], len(asking)).astype(np.int64)
+    counts = np.zeros(len(asking), np.int64)
     names = np.unique(np.concatenate([asking, nodes]))
-    forest, a, b = Forest(len(names)), [], []
-    for x, y in zip(np.searchsorted(names, asking[query]).tolist(), np.searchsorted(names, nodes[node]).tolist()):
-        if forest.join(x, y):
-            a.append(int(names[x]))
-            b.append(int(names[y]))
+    asks, holds = np.searchsorted(names, asking), np.searchsorted(names, nodes)
+    # A vector and its label are in one set of the forest; equal labels need no look at the forest.
+    forest, label, a, b = Forest(len(names)), np.arange(len(names)), [], []
+    for query, node in found_links(graph, exact, _matrix(block.column("vector")), width):
+        other = asking[query] != nodes[node]
+        query, node = query[other], node[other]
+        counts += np.bincount(query, copies[node], len(asking)).astype(np.int64)
+        heads, starts = np.unique(query, return_index=True)
+        for x, near in zip(asks[heads].tolist(), np.split(holds[node], starts[1:])):
+            apart = near[label[near] != label[x]]
+            if not len(apart):
+                continue
+            for y in apart[np.unique(label[apart], return_index=True)[1]].tolist():
+                if forest.join(x, y):
+                    a.append(int(names[x]))
+                    b.append(int(names[y]))
+            label[near] = label[x] = forest.root(x)
     linked = np.flatnonzero(counts)
     return pa.table(
         {

@@ -2,10 +2,12 @@
 
 import os
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -197,11 +199,30 @@ def test_shard_without_evidence_is_compared_whole(monkeypatch):
     assert 0 < wanted < hnsw.AUDIT_LINKS
     # Width 0 is a shard whose beam nothing vouches for: its graph is not asked.
     monkeypatch.setattr(hnsw.Graph, "search", None)
-    query, node = hnsw.found_links(graph, vectors, vectors, 0)
+    query, node = map(np.concatenate, zip(*hnsw.found_links(graph, vectors, vectors, 0)))
     near = vectors @ vectors.T >= hnsw.COSINE
     assert sorted(zip(query.tolist(), node.tolist())) == [tuple(p) for p in np.argwhere(near).tolist()]
 
 
+def test_meeting_of_one_large_group_holds_no_pairs():
+    rng = np.random.default_rng(11)
+    vectors = rng.standard_normal(16) + 0.02 * rng.standard_normal((3000, 16))
+    rows = pa.table({
+        "dimension": pa.array([16] * 3000, pa.int32()), "shard": pa.array([0] * 3000, pa.int32()), "node": pa.array(range(3000), pa.int64()),
+        "copies": pa.array([1] * 2999 + [5], pa.int64()), "vector": pa.array(vectors.tolist()),
+    })
+    graphs, block = hnsw._build(rows), rows.slice(1000, 1000).select(["node", "vector"])
+    for width in (0, hnsw.BEAMS[0]):
+        ready = graphs.append_column("width", pa.array([width], pa.int32()))
+        tracemalloc.start()
+        met = hnsw._meet(ready, block).to_pylist()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert {r["a"]: r["n"] for r in met if r["n"] is not None} == {i: 3003 for i in range(1000, 2000)}
+        assert len([r for r in met if r["b"] is not None]) == 2999
+        assert peak < 200e6  # its 3 million pairs are 384 MB a side
+
+
 def test_production_beam_on_a_large_shard(spark, monkeypatch):
     monkeypatch.setattr(hnsw, "SHARDS", 1)
     vectors = _families(np.random.default_rng(10), 1500, 4, 32, 0.03)
