@@ -30,9 +30,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near-duplicates."""
-    copies = dartminhash.groups(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(sized(stage(copies, "near-copies")), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each group of near-duplicates: of those with the least id, the first stored; null ids are last.
+
+    Ids may repeat or be null, so rows are told apart by a key of their own.
+    """
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    keyed = stage(docs.withColumn(key, F.monotonically_increasing_id()), "keyed-documents")
+    found = dartminhash.groups(keyed, id_col=key).select(F.col("doc_id").alias(key), "class_id")
+    placed = stage(found.join(keyed.select(key, F.col("doc_id").alias("id")), key), "near-groups")
+    # Structs are compared field by field: rows with an id come before those without.
+    first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col(key)))
+    firsts = placed.groupBy("class_id").agg(first[key].alias("first"), F.count("*").alias("n")).filter("n > 1").select("class_id", "first")
+    copies = placed.join(sized(stage(firsts, "near-firsts")), "class_id").filter(F.col(key) != F.col("first")).select(key)
+    return keyed.join(sized(stage(copies, "near-copies")), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -313,6 +313,13 @@ def test_pipeline_takes_odd_and_empty_documents(spark, odd, tmp_path):
         docs.collect()
 
 
+def test_near_copies_go_by_row_not_by_id(spark, documents):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, one, "en"), (1, one, "en"), (2, one, "en"), (2, two, "en"), (None, three, "en"), (None, three, "en"), (None, two, "de"), (None, None, "en"), (3, "", "en")]
+    out = corpus_pipeline.drop_near_copies(spark, documents(rows), SMALL).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in out) == Counter([(1, one), (2, two), (None, three), (None, None), (3, "")])
+
+
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_queries_equal_their_sql(spark, name):
     import duckdb
