@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from claimloom.llm import bpe, dartminhash, decontaminate, hnsw, langid, ngram_lm, pii, quality, sharding, url_filter
+from claimloom.llm import bpe, dartminhash, decontaminate, hnsw, langid, ngram_lm, packing, pii, quality, sharding, url_filter
 from claimloom.llm.common import remainder, table
 from claimloom.llm.url_filter import Rule
 
@@ -156,6 +156,11 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM folded LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
@@ -167,6 +172,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_url_filter": op9_url_filter,
     "op10_minhash": op10_minhash,
+    "op13_packing": op13_packing,
     "pipeline": corpus_pipeline.run,
 }
 
