@@ -68,19 +68,17 @@ class Encoder:
 
     def __init__(self, vocabulary: str):
         self.level = ByteLevel(vocabulary, plain_specials=False)
-        self.first = Memory(self._ids)
-        self.later = Memory(lambda part: self._ids(" " + part) if self.level.starts_unit(part) else None)
+        self.known = Memory(self.level.encode_units, self.level.starts_unit)
 
-    def _ids(self, text: str) -> bytes:
-        return b"".join([i.to_bytes(WIDTH, "little") for i in self.level.encode(text)])
-
-    def of(self, text: str) -> bytes:
-        parts = text.split(" ")
-        found = list(map(self.later.__getitem__, parts[1:]))
-        if None in found:
-            parts = glued(parts, self.level.starts_unit)
-            found = [self._ids(" " + unit) for unit in parts[1:]]
-        return b"".join([self.first[parts[0]], *found])
+    def of(self, texts: list[str]) -> list[bytes]:
+        parts = [t.split(" ") for t in texts]
+        out = []
+        for own, found in zip(parts, self.known.of([p[1:] for p in parts])):
+            if None in found:
+                own = glued(own, self.level.starts_unit)
+                found = self.level.encode_units(own[1:])
+            out.append(b"".join([self.level.encode(own[0]), *found]))
+        return out
 
 
 _last: list = [None, None]
@@ -120,8 +118,8 @@ def pack(
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, made = batch.slice(at, 256), []
-                for row in range(part.num_rows):
-                    ids = encoder.of(part.column("text")[row].as_py()) + end
+                for row, ids in enumerate(encoder.of(part.column("text").to_pylist())):
+                    ids += end
                     for n, (start, length) in enumerate(cuts(len(ids) // WIDTH, capacity)):
                         own = ids[start * WIDTH : (start + length) * WIDTH]
                         made.append((row, n, start, length, zlib.crc32(own), own if with_ids else None))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from claimloom.llm import bpe, dartminhash, decontaminate, hnsw, langid, ngram_lm, packing, pii, quality, sharding, url_filter
+from claimloom.llm import alignment, bpe, centroids, dartminhash, decontaminate, hnsw, langid, ngram_lm, packing, pii, quality, sharding, url_filter
 from claimloom.llm.common import remainder, table
 from claimloom.llm.url_filter import Rule
 
@@ -157,6 +157,42 @@ FROM folded LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql(k: int = 40, rounds: int = 5, dimension: int = 64) -> str:
+    """Plain rounds: every vector against every centroid."""
+    steps = [f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {dimension} AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM v ORDER BY c LIMIT {k})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+a{n} AS MATERIALIZED (
+  SELECT r, any_value(vec_id) AS vec_id, any_value(x) AS v, min({{'d': d, 'c': c}}) AS best
+  FROM (SELECT r, vec_id, v.v AS x, c, CAST(list_sum(list_transform(list_zip(v.v, c{n}.v), z -> (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, c{n})
+  GROUP BY r)""")
+        if n < rounds:
+            steps.append(f"""
+m{n} AS MATERIALIZED (
+  SELECT c, list((s - (s % n + n) % n) // n ORDER BY i) AS v
+  FROM (SELECT best.c AS c, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{n}, range(1, {dimension + 1}) AS t(i) GROUP BY best.c, i) GROUP BY c),
+c{n + 1} AS MATERIALIZED (SELECT c, coalesce(m{n}.v, c{n}.v) AS v FROM c{n} LEFT JOIN m{n} USING (c))""")
+    return ",".join(steps) + f"""
+SELECT vec_id, CAST(best.c AS INT) AS "cluster", best.d AS distance,
+       CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON best.c = c{rounds}.c"""
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -172,11 +208,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_url_filter": op9_url_filter,
     "op10_minhash": op10_minhash,
+    "op11_alignment": op11_alignment,
+    "op12_centroids": op12_centroids,
     "op13_packing": op13_packing,
     "pipeline": corpus_pipeline.run,
 }
 
-SQL: dict[str, str] = {"op5_decontamination": OP5_SQL, "op9_url_filter": OP9_SQL}
+SQL: dict[str, str] = {"op5_decontamination": OP5_SQL, "op9_url_filter": OP9_SQL, "op12_centroids": _op12_sql()}
 
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -8,24 +8,27 @@ before such a space if the sign in front of it is not a space either. What canno
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
+from array import array
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
 #: Units a worker remembers in each of two generations, and the longest of them.
-KEPT = 1 << 16
+KEPT = 1 << 17
 KEPT_LENGTH = 64
-#: Longest unit for the faster of two equal encoders, and the first sign whose kind its tables may not know.
+#: Units for the faster of two equal encoders: not too long, of scripts whose signs every table knows, without a space at the end.
 FAST_LENGTH = 1 << 14
-FAST_BELOW = "԰"
+USUAL = re.compile(r"[!-~\u00a1-\u052f][\x00-\u052f]{0,%d}(?<! )" % FAST_LENGTH).fullmatch
 
 
 def starts_unit(part: str) -> bool:
     """Whether a cut before a space and ``part`` is safe: it begins with a sign that no table counts as white space."""
-    return bool(part) and unicodedata.category(part[0])[0] in "LMNPS"
+    return part[:1].isalnum() or bool(part) and unicodedata.category(part[0])[0] in "LMNPS"
 
 
 def glued(parts: list[str], starts_unit: Callable[[str], bool] = starts_unit) -> list[str]:
@@ -34,22 +37,47 @@ def glued(parts: list[str], starts_unit: Callable[[str], bool] = starts_unit) ->
     return [" ".join(parts[a:b]) for a, b in zip(starts, [*starts[1:], len(parts)])]
 
 
-class Memory(dict):
-    """Results by argument, in two generations of at most ``KEPT`` entries each."""
+class Memory:
+    """Encoded units of texts: new ones are encoded together, and those met lately are remembered.
 
-    def __init__(self, compute):
-        self.compute, self.older = compute, {}
+    ``encode`` takes units and gives their values, each for a space and the unit. Units are kept in two
+    generations of about ``KEPT`` entries each.
+    """
 
-    def __missing__(self, key):
-        value = self.older.get(key, self)
-        if value is self:
-            value = self.compute(key)
-        if len(self) >= KEPT:
-            self.older = dict(self)
-            self.clear()
-        if len(key) < KEPT_LENGTH:
-            self[key] = value
-        return value
+    def __init__(self, encode: Callable[[list[str]], list], starts_unit: Callable[[str], bool] = starts_unit):
+        self.encode, self.starts_unit = encode, starts_unit
+        self.new: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+
+    def _learn(self, wanted: set[str]) -> None:
+        if len(self.new) > KEPT:
+            self.old, self.new = self.new, {}
+        fresh = wanted.difference(self.new)
+        again = fresh.intersection(self.old)
+        self.new.update(zip(again, map(self.old.__getitem__, again)))
+        fresh -= again
+        units = [u for u in fresh if self.starts_unit(u)]
+        self.new.update(zip(units, self.encode(units)))
+        self.new.update(dict.fromkeys(fresh.difference(units)))
+
+    def of(self, texts: list[list[str]]) -> list[list]:
+        """The values of the units of each text, given as its parts between spaces; None for what starts no unit."""
+        self._learn(set().union(*texts))
+        found = [list(map(self.new.__getitem__, parts)) for parts in texts]
+        for unit in [u for u in self.new if len(u) > KEPT_LENGTH]:
+            del self.new[unit]
+        return found
+
+
+def split_at(ids: np.ndarray, lengths: np.ndarray, sizes: list[int]) -> list[bytes] | None:
+    """``ids`` cut where the bytes of tokens reach the sums of ``sizes``; None if they do not."""
+    ends, wanted = np.cumsum(lengths[ids]), np.cumsum(sizes)
+    cuts = np.searchsorted(ends, wanted)
+    if len(wanted) and (cuts[-1] != len(ends) - 1 or not np.array_equal(ends[cuts], wanted)):
+        return None
+    raw, width = ids.tobytes(), ids.itemsize
+    stops = ((cuts + 1) * width).tolist()
+    return [raw[a:b] for a, b in zip([0, *stops], stops)]
 
 
 class ByteLevel:
@@ -65,13 +93,26 @@ class ByteLevel:
         described = json.loads(vocabulary)
         self.specials = [] if plain_specials else [t["content"] for t in described.get("added_tokens", [])]
         self.raw = entry_bytes(described["model"]["vocab"])
+        self.lengths = np.zeros(self.whole.get_vocab_size(), np.int64)
+        self.lengths[list(self.raw)] = [len(x) for x in self.raw.values()]
         self.fast = _same_merges(described["model"], self.raw)
 
-    def encode(self, text: str) -> list[int]:
-        usual = self.fast and len(text) < FAST_LENGTH and (text.isascii() or max(text) < FAST_BELOW)
-        if usual and not any(s in text for s in self.specials):
-            return self.fast.encode_ordinary(text)
-        return self.whole.encode(text, add_special_tokens=False).ids
+    def usual(self, units: list[str]) -> list[str]:
+        """Those of ``units`` that the faster encoder may encode, all together."""
+        usual = [u for u in units if USUAL(u)] if self.fast else []
+        text = " ".join(usual)
+        return [u for u in usual if not any(s in u for s in self.specials)] if any(s in text for s in self.specials) else usual
+
+    def encode(self, text: str) -> bytes:
+        """Ids of one text, as 32-bit numbers."""
+        return array("i", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        """Ids of a space and each unit, as 32-bit numbers."""
+        usual = self.usual(units)
+        ids = np.array(self.fast.encode_ordinary(f" {' '.join(usual)}") if usual else [], np.int32)
+        done = dict(zip(usual, split_at(ids, self.lengths, [len(u.encode()) + 1 for u in usual]) or []))
+        return [done[u] if u in done else self.encode(f" {u}") for u in units]
 
     def starts_unit(self, part: str) -> bool:
         """As the function of that name; a special token also ends what stands before it."""
