@@ -142,6 +142,54 @@ def _(L):
     return _ingested(L, "cost").select(*M.COST.columns, "note")
 
 
+def _land_forms(L: Layers, name: str, short: bool = False) -> DataFrame:
+    """Land a raw table as CSV files in four forms and read what the stream makes of them.
+
+    The last column of every row holds a line break. By row, files have plain headers, blank lines before the
+    header, a header that repeats a name in other case, or one that uses a name of lineage; the last two carry
+    one value more. With ``short``, the rows of the second form lack their last value.
+    """
+    folder = f"{shared_folder(L.spark)}/landed/{name}-{uuid.uuid4().hex}"
+    columns = list(M.CSV_DATASETS[name].columns)
+    last = F.concat(F.substring(columns[-1], 1, 1), F.lit("\n"), F.expr(f"substring({columns[-1]}, 2)"))
+    kind = F.pmod(F.ascii(F.substring(F.coalesce(F.col(columns[0]), F.lit("")), -1, 1)), F.lit(4))
+    rows = L.raw(name).select(*columns[:-1], last.alias(columns[-1]), F.concat(F.lit("x-"), F.col(columns[0])).alias("extra"), kind.alias("kind"))
+    as_is = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    line = lambda *names: F.to_csv(F.struct(*names), as_is)
+    one = line(*columns[:-1]) if short else line(*columns)
+    text = F.when(F.col("kind") == 0, line(*columns)).when(F.col("kind") == 1, one).otherwise(line(*columns, "extra"))
+    header = ",".join(columns)
+    heads = {0: header, 1: f"\n\n{header}", 2: f"{header},{columns[1].upper()}", 3: f"{header},_rescued_data"}
+    head = F.element_at(F.create_map(*[F.lit(x) for item in heads.items() for x in item]), F.col("kind"))
+    files = max(1, rows.count() // 2000)  # a file for about each 500 rows of a form
+    one_file = rows.groupBy("kind", F.pmod(F.xxhash64(columns[0]), F.lit(files)).alias("part")).agg(F.array_join(F.collect_list(text), "\n").alias("value"))
+    one_file.select("kind", "part", F.concat(head, F.lit("\n"), "value").alias("value")).write.partitionBy("kind", "part").text(folder)
+    for _ in range(2):
+        ingest.ingest_csv(L.spark, folder, M.CSV_DATASETS[name], f"{folder}-bronze", f"{folder}-marks", glob="*.txt").awaitTermination()
+    return ingest.landed_rows(L.spark, f"{folder}-bronze")
+
+
+def _forms_sql(name: str) -> str:
+    *others, last = M.CSV_DATASETS[name].columns
+    broken = f"nullif(substr({last}, 1, 1) || chr(10) || substr({last}, 2), '')"
+    return f"SELECT {', '.join(f'nullif({c}, {chr(39) * 2}) AS {c}' for c in others)}, {broken} AS {last}, ascii(right(coalesce({others[0]}, ''), 1)) % 4 AS kind FROM bronze_{name}"
+
+
+@query("src1_record_forms", f"""SELECT * EXCLUDE (kind), CASE WHEN kind = 2 THEN 'x-' || provider_id END AS repeated,
+  CASE WHEN kind = 3 THEN 'x-' || provider_id END AS reserved, CAST(NULL AS VARCHAR) AS _rescued_data FROM ({_forms_sql('providers')})""")
+def _(L):
+    columns = M.PROVIDERS.columns
+    found = _land_forms(L, "providers")
+    extra = {"repeated": f"{columns[1]}_{len(columns)}", "reserved": f"_rescued_data_{len(columns)}"}
+    return found.select(*columns, *[F.col(c).alias(n) for n, c in extra.items()], M.RESCUED)
+
+
+@query("aud4_marked_records", f"""SELECT * EXCLUDE (kind, severity), CASE WHEN kind <> 1 THEN severity END AS severity,
+  CAST(kind = 1 AS INT) AS marked FROM ({_forms_sql('diagnosis')})""")
+def _(L):
+    return _land_forms(L, "diagnosis", short=True).select(*M.DIAGNOSIS.columns, F.col(M.RESCUED).isNotNull().cast("int").alias("marked"))
+
+
 @query("src3_document_stream", "SELECT CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes FROM documents")
 def _(L):
     folder = f"{shared_folder(L.spark)}/landed/documents-{uuid.uuid4().hex}"
