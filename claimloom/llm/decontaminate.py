@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import with_id
+from claimloom.llm.common import beside, changed, free_name, with_id
 
 WINDOW = 10
 MAX_COVERAGE = 0.5
@@ -172,19 +172,31 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, window: int) -> list[A
     return [Automaton(b, window) for b in blocks if b]
 
 
-_SCHEMA = "text string, n_words long, n_hit long, hits array<struct<first:int,end:int>>, items array<string>"
+_SCHEMA = "n_words long, n_hit long, hits array<struct<first:int,end:int>>, items array<string>"
+
+
+def matches(texts: list, blocks: list[Automaton]) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
+    """Number of words, hit word spans and ids of the items hit, of each text."""
+    words = [words_of(t) for t in texts]
+    spans: list[list] = [[] for _ in texts]
+    names: list[set] = [set() for _ in texts]
+    for automaton in blocks:
+        for w, s, k in zip(words, spans, names):
+            found: set[int] = set()
+            automaton.hits(w, s, found)
+            k.update(automaton.names[n] for n in found)
+    return [len(w) for w in words], [merged(s) for s in spans], names
 
 
 def scan(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
-    item_id: str = "item_id", item_text: str = "text", clean: bool = False,
+    item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
-    """Hit words of every row of ``docs``: row_id, text, n_words, n_hit, hits (word spans), items.
+    """Hit words of every row of ``docs``: row_id, n_words, n_hit, hits (word spans), items.
 
-    ``items`` are distinct item ids as strings, sorted. ``text`` is the text without its hit spans if
-    ``clean`` is set and null otherwise. Null and wordless texts have no words and no hits; an item with
-    fewer words than the window must occur whole; null and wordless items never occur. Repeated rows come
-    out each; an empty benchmark hits nothing. Only id and text are read, so other names cannot clash.
+    ``items`` are distinct item ids as strings, sorted. Null and wordless texts have no words and no hits; an
+    item with fewer words than the window must occur whole; null and wordless items never occur. Repeated rows
+    come out each; an empty benchmark hits nothing. Only id and text are read, so other names cannot clash.
     """
     context = docs.sparkSession.sparkContext
     shared = [context.broadcast(a) for a in _blocks(items, item_id, item_text, window)]
@@ -192,56 +204,47 @@ def scan(
     hit = pa.struct([("first", pa.int32()), ("end", pa.int32())])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [block.value for block in shared]
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                texts = part.column("text").to_pylist()
-                words = [words_of(t) for t in texts]
-                spans: list[list] = [[] for _ in texts]
-                names: list[set] = [set() for _ in texts]
-                for block in shared:
-                    automaton = block.value
-                    for w, s, k in zip(words, spans, names):
-                        found: set[int] = set()
-                        automaton.hits(w, s, found)
-                        k.update(automaton.names[n] for n in found)
-                joined = [merged(s) for s in spans]
-                kept = [t if not clean or t is None or not s else without(t, s) for t, s in zip(texts, joined)]
+                n_words, joined, names = matches(part.column("text").to_pylist(), blocks)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("row_id"),
-                        pa.array(kept if clean else [None] * len(texts), pa.string()),
-                        pa.array([len(w) for w in words], pa.int64()),
+                        pa.array(n_words, pa.int64()),
                         pa.array([sum(b - a for a, b in s) for s in joined], pa.int64()),
                         pa.array([[{"first": a, "end": b} for a, b in s] for s in joined], pa.list_(hit)),
                         pa.array([sorted(k) for k in names], pa.list_(pa.string())),
                     ],
-                    ["row_id", "text", "n_words", "n_hit", "hits", "items"],
+                    ["row_id", "n_words", "n_hit", "hits", "items"],
                 )
 
     return rows.mapInArrow(match, with_id(docs, id_col, "row_id", _SCHEMA))
 
 
 def decontaminate(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE,
-    id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, text_col: str = "text",
+    item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """``docs`` without benchmark spans, and without documents of which they cover over ``max_coverage``.
 
-    The columns stay as they are; a row keeps its place in nothing but its values, so the row travels
-    through the scan as a struct. ``n_chars``, where there is one, follows the new text.
+    The columns stay as they are; ``n_chars``, where there is one, follows a text that changes. Rows whose text
+    is null, empty or without a hit stay as they are, repeated ones too; an empty table or benchmark changes
+    nothing; texts of any length are read whole, and no name of a column can clash.
     """
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != text_col]).alias("row"), F.col(text_col).alias("text"))
-    done = scan(packed, items, window, "row", "text", clean=True)
-    kept = done.filter(F.col("n_hit") <= F.col("n_words") * max_coverage)
-
-    def column(name: str):
-        if name == text_col:
-            return F.col("text").alias(name)
-        if name == "n_chars":
-            return F.when(F.col("n_hit") > 0, F.length("text")).otherwise(F.col("row_id.n_chars")).cast(docs.schema[name].dataType).alias(name)
-        return F.col(f"row_id.`{name}`").alias(name)
-
-    return kept.select(*[column(c) for c in names])
-
+    context = docs.sparkSession.sparkContext
+    shared = [context.broadcast(a) for a in _blocks(items, item_id, item_text, window)]
+    found = pa.struct([("kept", pa.bool_()), ("text", pa.string())])
+
+    def work(texts: list, _: list) -> pa.Array:
+        n_words, joined, _names = matches(texts, [block.value for block in shared])
+        made = [
+            {"kept": sum(b - a for a, b in s) <= n * max_coverage, "text": without(t, s) if s else None}
+            for t, n, s in zip(texts, n_words, joined)
+        ]
+        return pa.array(made, found)
+
+    name = free_name(docs, "found")
+    done = beside(docs, work, "kept boolean, text string", [F.col(f"`{text_col}`")], name).filter(F.col(name)["kept"])
+    return changed(done, F.col(name)["text"], docs, text_col)

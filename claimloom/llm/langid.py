@@ -199,8 +199,11 @@ def predict(
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                units = _unit(bundler.bundle(part.column("text").to_pylist()))
-                known = units.any(axis=1) & bool(langs)
+                texts = part.column("text").to_pylist()
+                units = _unit(bundler.bundle(texts))
+                # Marks are symbols of n-grams too, but alone they are no letter.
+                lettered = np.array([any(map(str.isalpha, t)) for t in texts], bool)
+                known = units.any(axis=1) & lettered & bool(langs)
                 cosines = units @ prototypes.T if langs else np.zeros((len(units), 1))
                 best = cosines.argmax(axis=1)
                 names = [langs[b] if k else UNKNOWN for b, k in zip(best, known)]

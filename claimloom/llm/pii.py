@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import with_id
+from claimloom.llm.common import beside, changed, free_name, with_id
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 SLICE = 256
@@ -329,15 +329,14 @@ def replaced(text: str, spans: list[tuple[int, int, str, bool]]) -> str:
     return "".join([*kept, text[at:]])
 
 
-_SCHEMA = "text string, spans array<struct<start:int,end:int,kind:string,base:boolean>>"
+_SCHEMA = "spans array<struct<start:int,end:int,kind:string,base:boolean>>"
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: bool = False) -> DataFrame:
-    """row_id, text, spans for each row of ``docs``; offsets are code points, the end exclusive.
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row_id, spans for each row of ``docs``; offsets are code points, the end exclusive.
 
-    ``text`` is the text with its spans replaced if ``mask`` is set, else null. Null texts stay null and, like
-    empty ones, have no spans. Texts of any length are read whole. Repeated rows come out each; other
-    columns are not read.
+    Null and empty texts have no spans. Texts of any length are read whole. Repeated rows come out each, an empty
+    table gives no rows; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Field())
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("base", pa.bool_())])
@@ -347,33 +346,25 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                texts = part.column("text").to_pylist()
-                spans = all_spans([t or "" for t in texts], field)
-                masked = [replaced(t, s) if mask and s else t if mask else None for t, s in zip(texts, spans)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("row_id"),
-                        pa.array(masked, pa.string()),
-                        pa.array([[{"start": a, "end": b, "kind": k, "base": f} for a, b, k, f in s] for s in spans], pa.list_(span)),
-                    ],
-                    ["row_id", "text", "spans"],
-                )
+                spans = all_spans([t or "" for t in part.column("text").to_pylist()], field)
+                found = pa.array([[{"start": a, "end": b, "kind": k, "base": f} for a, b, k, f in s] for s in spans], pa.list_(span))
+                yield pa.RecordBatch.from_arrays([part.column("row_id"), found], ["row_id", "spans"])
 
     rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(search, with_id(docs, id_col, "row_id", _SCHEMA))
 
 
 def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with personal data replaced in its text; ``n_chars``, where there is one, follows the text."""
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != text_col]).alias("row"), F.col(text_col).alias("text"))
-    done = find(packed, "row", "text", mask=True)
-
-    def column(name: str):
-        if name == text_col:
-            return F.col("text").alias(name)
-        if name == "n_chars":
-            return F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("row_id.n_chars")).cast(docs.schema[name].dataType).alias(name)
-        return F.col(f"row_id.`{name}`").alias(name)
-
-    return done.select(*[column(c) for c in names])
+    """``docs`` with personal data replaced in its text; ``n_chars``, where there is one, follows a text that changes.
+
+    Rows whose text is null, empty or without personal data stay as they are, repeated ones too; an empty table
+    stays empty; texts of any length are read whole, and no name of a column can clash.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(Field())
+
+    def work(texts: list, _: list) -> pa.Array:
+        spans = all_spans([t or "" for t in texts], shared.value)
+        return pa.array([replaced(t, s) if s else None for t, s in zip(texts, spans)], pa.string())
+
+    name = free_name(docs, "found")
+    return changed(beside(docs, work, "string", [F.col(f"`{text_col}`")], name), F.col(name), docs, text_col)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import with_id
+from claimloom.llm.common import beside
 
 TRAIN_ROWS = 4000
 KEEP_AT = 0.7
@@ -31,7 +31,6 @@ FACTORS = 8
 #: Gradient steps of a fit, each on BATCH documents; a small sample is gone over more often.
 STEPS = 400
 BATCH = 128
-SLICE = 256
 
 #: Edges of the buckets for shares and for sizes.
 SHARES = np.array([0, 1e-3, 3e-3, 0.01, 0.02, 0.04, 0.08, 0.12, 0.2, 0.3, 0.45, 0.6, 0.8, 0.95])
@@ -203,32 +202,43 @@ def train(
     return machine
 
 
-def score(
-    docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", metadata: Sequence[str] = (),
-    with_text: bool = False,
+def with_score(
+    docs: DataFrame, machine: Machine, name: str = "score", text_col: str = "text", metadata: Sequence[str] = ()
 ) -> DataFrame:
-    """doc_id and score (0 to 1) for each row of ``docs``, and its text between them if asked for.
+    """``docs`` and the score (0 to 1) of each row as column ``name``.
 
     Null and empty texts are scored by the statistics of an empty text; null metadata has a bucket of its
-    own. Repeated rows come out each; other columns are not read.
+    own. Rows stay as they are, repeated ones too; an empty table stays empty; ``name`` must be free.
     """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     count = len(metadata)
-    carried = ["doc_id", "text"] if with_text else ["doc_id"]
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker, model = Features(count), shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                numbers = [part.column(f"m{i}").to_pylist() for i in range(count)]
-                made = [maker.of(t or "", [n[i] for n in numbers]) for i, t in enumerate(part.column("text").to_pylist())]
-                if not made:
-                    continue
-                starts = np.concatenate([[0], np.cumsum([len(m[0]) for m in made])[:-1]])
-                scores = model.score(np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made]), starts)
-                columns = [part.column(c) for c in carried]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(scores)], [*carried, "score"])
-
-    schema = with_id(docs, id_col, "doc_id", "text string, score double" if with_text else "score double")
-    return _rows(docs, id_col, text_col, metadata).mapInArrow(apply, schema)
+    def work(texts: list, *others: list) -> pa.Array:
+        maker, model = _maker(count), shared.value
+        made = [maker.of(t or "", m) for t, *m in zip(texts, *others[:count])]
+        if not made:
+            return pa.array([], pa.float64())
+        starts = np.concatenate([[0], np.cumsum([len(m[0]) for m in made])[:-1]])
+        return pa.array(model.score(np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made]), starts))
+
+    numbers = [F.col(f"`{c}`").cast("double") for c in metadata]
+    return beside(docs, work, "double", [F.col(f"`{text_col}`"), *numbers], name)
+
+
+_makers: dict[int, Features] = {}
+
+
+def _maker(count: int) -> Features:
+    """The features of the worker's last task with as many metadata columns."""
+    if count not in _makers:
+        _makers.clear()
+        _makers[count] = Features(count)
+    return _makers[count]
+
+
+def score(
+    docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", metadata: Sequence[str] = ()
+) -> DataFrame:
+    """doc_id and score of each row of ``docs``, as :func:`with_score` has it; other columns are not read."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"m{i}") for i, c in enumerate(metadata)])
+    return with_score(rows, machine, "score", "text", [f"m{i}" for i in range(len(metadata))]).select("doc_id", "score")

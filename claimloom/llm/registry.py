@@ -171,14 +171,14 @@ def _op12_sql(k: int = 40, rounds: int = 5, dimension: int = 64) -> str:
     """Plain rounds: every vector against every centroid."""
     steps = [f"""
 WITH v AS MATERIALIZED (
-  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
-  FROM embeddings WHERE len(embedding) = {dimension} AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {dimension} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM v ORDER BY c LIMIT {k})"""]
     for n in range(rounds + 1):
         steps.append(f"""
 a{n} AS MATERIALIZED (
   SELECT r, any_value(vec_id) AS vec_id, any_value(x) AS v, min({{'d': d, 'c': c}}) AS best
-  FROM (SELECT r, vec_id, v.v AS x, c, CAST(list_sum(list_transform(list_zip(v.v, c{n}.v), z -> (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, c{n})
+  FROM (SELECT r, vec_id, v.v AS x, c, CAST(list_sum(list_transform(list_zip(v.v, c{n}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, c{n})
   GROUP BY r)""")
         if n < rounds:
             steps.append(f"""

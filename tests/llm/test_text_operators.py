@@ -74,6 +74,8 @@ def test_language_edges(odd):
     by_id = {r["doc_id"]: r for r in rows}
     assert all(by_id[i]["lang_pred"] == "und" and by_id[i]["score"] == 0 for i in (2, 3, 4))
     assert by_id[6]["lang_pred"] == "fr" and by_id[None]["lang_pred"] == "de"
+    signs = odd.sparkSession.createDataFrame([(1, "\u2764\ufe0f 123"), (2, "\u0301"), (3, "\u2764\ufe0f a\u0301")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] == "und" for r in langid.predict(signs, model).collect()} == {1: True, 2: True, 3: False}
     nothing = langid.train(odd.limit(0))
     assert {r["lang_pred"] for r in langid.predict(odd, nothing).collect()} == {"und"}
 
