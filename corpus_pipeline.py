@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm import bpe, dartminhash, decontaminate, pii, quality
-from claimloom.llm.common import table
+from claimloom.llm.common import free_name, table
 from claimloom.llm.components import sized
 from claimloom.sinks import stage
 
@@ -23,10 +23,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the quality machine, fitted on the labels, does not reject."""
     metadata = [c for c in ("n_chars",) if c in docs.columns]
     machine = quality.train(docs, table(spark, sf_dir, "labels"), metadata=metadata)
-    # The text travels beside the other columns, not within them, so it is sent once.
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "text", *metadata)
-    kept = quality.score(packed, machine, id_col="row", metadata=metadata, with_text=True).filter(F.col("score") >= quality.KEEP_AT)
-    return kept.select(*[F.col("text") if c == "text" else F.col(f"doc_id.`{c}`").alias(c) for c in docs.columns])
+    name = free_name(docs, "score")
+    return quality.with_score(docs, machine, name, metadata=metadata).filter(F.col(name) >= quality.KEEP_AT).drop(name)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Ids may repeat or be null, so rows are told apart by a key of their own.
     """
-    key = "row_key"
-    while key in docs.columns:
-        key += "_"
+    key = free_name(docs, "row_key")
     keyed = stage(docs.withColumn(key, F.monotonically_increasing_id()), "keyed-documents")
     found = dartminhash.groups(keyed, id_col=key).select(F.col("doc_id").alias(key), "class_id")
     placed = stage(found.join(keyed.select(key, F.col("doc_id").alias("id")), key), "near-groups")
