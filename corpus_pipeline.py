@@ -2,7 +2,9 @@
 
 Each stage takes the documents its predecessor kept, as a stored table, and all but the last return the
 columns of ``documents``. Columns a stage does not know pass through it. Every stage works on an empty table
-and on null ids and texts as its operator states.
+and on null ids and texts as its operator states: null and empty texts pass every stage and have no ids in the last,
+texts of any length are read whole, repeated rows are copies of each other, and no name of a column can clash.
+Stages that run Python bound the Arrow batches of the session, so that tasks do not hold many texts at once.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm import bpe, dartminhash, decontaminate, pii, quality
-from claimloom.llm.common import free_name, table
+from claimloom.llm.common import bounded, free_name, table
 from claimloom.llm.components import sized
 from claimloom.sinks import stage
 
@@ -21,6 +23,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality machine, fitted on the labels, does not reject."""
+    bounded(spark)
     metadata = [c for c in ("n_chars",) if c in docs.columns]
     machine = quality.train(docs, table(spark, sf_dir, "labels"), metadata=metadata)
     name = free_name(docs, "score")
@@ -32,6 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Ids may repeat or be null, so rows are told apart by a key of their own.
     """
+    bounded(spark)
     key = free_name(docs, "row_key")
     keyed = stage(docs.withColumn(key, F.monotonically_increasing_id()), "keyed-documents")
     found = dartminhash.groups(keyed, id_col=key).select(F.col("doc_id").alias(key), "class_id")
@@ -45,16 +49,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark; those that are mostly such passages go."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminate(docs, table(bounded(spark), sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind."""
+    bounded(spark)
     return pii.masked(docs)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the ids of their text, and the text as those ids decode."""
+    bounded(spark)
     others = [c for c in docs.columns if c != "text"]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), "text")
     done = bpe.encode_decode(packed, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, id_col="row")
