@@ -12,6 +12,7 @@ RUN_ID = "_pipeline_run_id"
 RESCUED = "_rescued_data"
 UNKNOWN_LOCATION = "Unknown"
 ROW_ID = "_row_id"
+BATCH = "_batch"
 PROCESSED_AT = "_silver_processed_at"
 QUALITY_FLAGS = "_data_quality_flags"
 QUARANTINED_AT = "_quarantined_at"

@@ -12,7 +12,9 @@ from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+OVERWRITE_CONF = "spark.sql.sources.partitionOverwriteMode"
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 _own_folder: dict[str, str] = {}
 
@@ -103,6 +105,31 @@ def replace_self(df: DataFrame, table: str, cluster: Sequence[str] = ()) -> str:
         return overwrite(stage(df, table.replace(".", "_")), table, cluster)
 
 
+def replace_partitions(df: DataFrame, table: str, by: Sequence[str]) -> str:
+    """Put the rows in place of the table's partitions that they belong to; all others stay as they are.
+
+    New columns are added to the table first; columns it has and ``df`` lacks become NULL.
+    """
+    spark = df.sparkSession
+    if not spark.catalog.tableExists(table):
+        df.write.partitionBy(*by).saveAsTable(table)
+        return table
+    held = spark.read.table(table).schema
+    fresh = [f for f in df.schema.fields if f.name not in held.names]
+    if fresh:
+        added = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fresh)
+        spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({added})")
+        held = spark.read.table(table).schema
+    ordered = df.select(*(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in held.fields))
+    mode = spark.conf.get(OVERWRITE_CONF)
+    spark.conf.set(OVERWRITE_CONF, "dynamic")
+    try:
+        ordered.write.mode("overwrite").insertInto(table)
+    finally:
+        spark.conf.set(OVERWRITE_CONF, mode)
+    return table
+
+
 def append(df: DataFrame, table: str) -> str:
     df.write.mode("append").saveAsTable(table)
     return table

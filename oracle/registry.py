@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -20,8 +20,8 @@ from claimloom.namespace import Namespace
 from claimloom.operators import drift, expectations, flags, profiling, rules
 from claimloom.operators.activity import provider_days
 from claimloom.operators.newest import PRIORITY, mark_newest, upsert
-from claimloom.plans import analytics, eventlog, gold, labels, modelling, quality, refresh, silver
-from claimloom.sinks import clustered, shared_folder, stage, stage_all
+from claimloom.plans import analytics, eventlog, gold, incremental, labels, modelling, quality, refresh, silver
+from claimloom.sinks import clustered, replace_partitions, shared_folder, stage, stage_all
 from claimloom.sources.snapshots import landed_csv
 from claimloom.sources.testbed import Layers
 from claimloom.streaming import ingest
@@ -424,6 +424,37 @@ for _name, _cols in _SILVER_SQL.items():
           f"SELECT {_common}, diagnostic_id, rule_name, quarantine_reason, {_LINE.format(d=_name)}, {_STAMP} AS _quarantined_at FROM q_{_name}")(
         lambda L, n=_name: L.quarantined(n))
 
+
+def _refreshed_by_batches(L: Layers, table: Callable[[Namespace, str], str], datasets: Sequence[str]) -> dict[str, DataFrame]:
+    """Bronze landed in three batches, Silver refreshed after each, and tables of the last state, stored."""
+    names = Namespace(prefix=f"changes_{uuid.uuid4().hex[:12]}_")
+    names.create(L.spark, ("bronze", "silver", "quarantine"))
+    for batch in range(3):
+        for dataset in incremental.ORDER:
+            rows = L.stored_raw(dataset).where(F.pmod(F.xxhash64(M.ROW_ID), F.lit(3)) == batch)
+            replace_partitions(rows.withColumn(M.BATCH, F.lit(batch)), names.bronze(dataset), (M.BATCH,))
+        incremental.refresh_changes(L.spark, names, buckets=8, as_of=L.as_of)
+    found = {d: stage(incremental.refreshed(L.spark, table(names, d)), f"refreshed_{d}") for d in datasets}
+    for layer in ("bronze", "silver", "quarantine"):
+        L.spark.sql(f"DROP DATABASE {names.database(layer)} CASCADE")
+    return found
+
+
+@query("snk2_incremental_claims", f"SELECT {_SILVER_SQL['claims']}, _rescued_data, {_AUDIT_SQL}, {_STAMP} AS _silver_processed_at FROM t_claims")
+def _(L):
+    return _refreshed_by_batches(L, lambda n, d: n.silver(d), ("claims",))["claims"].drop(M.ROW_ID)
+
+
+@query("snk2_incremental_quarantine", " UNION ALL ".join(
+    f"SELECT '{d}' AS dataset, {k} AS business_key, diagnostic_id, rule_name, quarantine_reason FROM q_{d}"
+    for d, k in (("claims", "claim_id"), ("providers", "provider_id"), ("diagnosis", "diagnosis_code"), ("cost", "procedure_code"))))
+def _(L):
+    found = _refreshed_by_batches(L, lambda n, d: n.quarantine(d), incremental.ORDER)
+    keys = {d: M.CSV_DATASETS[d].keys[0] for d in found}
+    parts = [f.select(F.lit(d).alias("dataset"), F.col(keys[d]).alias("business_key"), "diagnostic_id", "rule_name", "quarantine_reason") for d, f in found.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 _DATASET_VIEWS = {"claims": "v_claims", "providers": "v_providers", "diagnosis": "v_diagnosis", "cost": "v_cost", "policy_chunks": "v_documents"}
 
 
