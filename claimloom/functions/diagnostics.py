@@ -19,15 +19,9 @@ CATEGORIES = (
 )
 
 
-# Every identifier there can be: a prefix, a domain and three digits.
-_NUMBERS = {d: tuple(f"{d}-{n:03d}" for n in range(1000)) for d in DOMAINS}
-
-
 def diagnostic_id(domain: str, number: int, prefix: str = PREFIX) -> str:
-    """Looked up, so that only an identifier of the table can come out; LookupError for any other."""
-    if number < 0:
-        raise LookupError(f"no diagnostic has the number {number}")
-    return f"{prefix}-{_NUMBERS[domain.upper()][number]}"
+    """The identifier of a rule or failure by its domain and its number there, such as CLM-SLV-201."""
+    return "-".join((prefix, domain.upper(), str(number).zfill(3)))
 
 
 def failure_id(dataset: str | None) -> str:

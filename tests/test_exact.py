@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimloom.functions.cleaning import title
+from claimloom.operators import quantiles
 from claimloom.operators.quantiles import BUCKETS, exact_quantiles, histogram
 from claimloom.plans import labels
 from claimloom.plans.modelling import roc_auc
@@ -22,6 +23,26 @@ def test_quantiles_equal_sorted_ranks(spark):
     assert exact_quantiles(spark.createDataFrame([], "v double"), "v", [0.5]) == [None]
 
 
+def test_quantiles_with_infinities_and_without_numbers(spark):
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([(v,) for v in (-inf, 1.0, 2.0, inf, nan, None, -1.7e308, 1.7e308)], "v double")
+    shares = [k / 6 for k in range(1, 7)]
+    assert exact_quantiles(df, "v", [0.01, 0.2, 0.4, 0.6, 0.8, 1.0]) == [-inf, -1.7e308, 1.0, 2.0, 1.7e308, inf]
+    assert exact_quantiles(df.where("isnan(v)"), "v", shares) == [None] * 6
+    assert exact_quantiles(spark.createDataFrame([(inf,), (-inf,)], "v double"), "v", [0.5, 1.0]) == [-inf, inf]
+
+
+@pytest.mark.parametrize("collected", [1 << 17, 0])
+def test_brackets_of_many_rows_are_exact(spark, monkeypatch, collected):
+    monkeypatch.setattr(quantiles, "COLLECTED", collected)
+    rows = spark.range(200_000).select((F.hash("id") % 50_000 / 7.0).alias("v"))
+    ordered = sorted(r["v"] for r in rows.collect())
+    shares = [0.001, 0.05, 0.5, 0.95, 1.0]
+    assert exact_quantiles(rows, "v", shares) == [ordered[round(s * 200_000) - 1] for s in shares]
+    monkeypatch.setattr(quantiles, "MARGIN", 0.0)  # brackets that miss are noticed
+    assert exact_quantiles(rows, "v", [0.3, 0.7]) == [ordered[59_999], ordered[139_999]]
+
+
 def test_a_pass_over_many_rows_returns_few(spark):
     counted = spark.range(4_000_000).select(F.col("id").cast("double").alias("v"), F.lit(1).alias("n"))
     steps = histogram(counted, [(0.0, 3_999_999.0), (10.0, 20.0)])
