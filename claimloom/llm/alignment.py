@@ -105,15 +105,21 @@ class Aligner:
     def encode_units(self, units: list[str]) -> list[tuple[bytes, bytes] | bool]:
         """Ids of either side for a space and each unit; False if those of a side do not add up to its bytes."""
         usual = self.a.usual(units)
-        text = " ".join(usual)
-        together = None
         if usual:
-            ids = np.array(self.b.encode(text), np.int32)
-            if b"".join(map(self.b_raw.__getitem__, ids.tolist())) == b" " + text.encode():
-                together = split_at(ids, self.b_length, [len(u.encode()) + 1 for u in usual])
-        done = dict(zip(usual, together)) if together else {}
-        sides = zip(self.a.encode_units(units), [done[u] if u in done else array("i", self.b.encode(u)).tobytes() for u in units])
-        return [(a, b) if u in done or self._covered(u, a, b) else False for u, (a, b) in zip(units, sides)]
+            text, sizes = " ".join(usual), [len(u.encode()) + 1 for u in usual]
+            ids = self.b.encode(text)
+            whole = b"".join(map(self.b_raw.__getitem__, ids)) == b" " + text.encode()
+            b_ids = split_at(np.array(ids, np.int32), self.b_length, sizes) if whole else None
+            if b_ids and len(usual) == len(units):
+                return list(zip(self.a.together(usual, sizes), b_ids))
+            done = dict(zip(usual, zip(self.a.together(usual, sizes), b_ids))) if b_ids else {}
+        else:
+            done = {}
+        return [done.get(u) or self._alone(u) for u in units]
+
+    def _alone(self, unit: str) -> tuple[bytes, bytes] | bool:
+        a, b = self.a.encode(f" {unit}"), array("i", self.b.encode(unit)).tobytes()
+        return (a, b) if self._covered(unit, a, b) else False
 
     def _covered(self, unit: str, *sides: bytes) -> bool:
         raw = b" " + unit.encode("utf-8", "surrogatepass")

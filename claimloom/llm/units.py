@@ -49,7 +49,8 @@ class Memory:
         self.new: dict[str, object] = {}
         self.old: dict[str, object] = {}
 
-    def _learn(self, wanted: set[str]) -> None:
+    def _learn(self, wanted: set[str]) -> list[str]:
+        """Make the values of all ``wanted`` units known; returns those that are too long to be kept."""
         if len(self.new) > KEPT:
             self.old, self.new = self.new, {}
         fresh = wanted.difference(self.new)
@@ -59,12 +60,13 @@ class Memory:
         units = [u for u in fresh if self.starts_unit(u)]
         self.new.update(zip(units, self.encode(units)))
         self.new.update(dict.fromkeys(fresh.difference(units)))
+        return [u for u in fresh if len(u) > KEPT_LENGTH]
 
     def of(self, texts: list[list[str]]) -> list[list]:
         """The values of the units of each text, given as its parts between spaces; None for what starts no unit."""
-        self._learn(set().union(*texts))
+        long = self._learn(set().union(*texts))
         found = [list(map(self.new.__getitem__, parts)) for parts in texts]
-        for unit in [u for u in self.new if len(u) > KEPT_LENGTH]:
+        for unit in long:
             del self.new[unit]
         return found
 
@@ -107,11 +109,18 @@ class ByteLevel:
         """Ids of one text, as 32-bit numbers."""
         return array("i", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def together(self, usual: list[str], sizes: list[int]) -> list[bytes]:
+        """Ids of a space and each of units that :meth:`usual` let through; ``sizes`` are their bytes, space included."""
+        ids = np.array(self.fast.encode_ordinary(f" {' '.join(usual)}") if usual else [], np.int32)
+        return split_at(ids, self.lengths, sizes) or [self.encode(f" {u}") for u in usual]
+
     def encode_units(self, units: list[str]) -> list[bytes]:
         """Ids of a space and each unit, as 32-bit numbers."""
         usual = self.usual(units)
-        ids = np.array(self.fast.encode_ordinary(f" {' '.join(usual)}") if usual else [], np.int32)
-        done = dict(zip(usual, split_at(ids, self.lengths, [len(u.encode()) + 1 for u in usual]) or []))
+        found = self.together(usual, [len(u.encode()) + 1 for u in usual])
+        if len(usual) == len(units):
+            return found
+        done = dict(zip(usual, found))
         return [done[u] if u in done else self.encode(f" {u}") for u in units]
 
     def starts_unit(self, part: str) -> bool:
