@@ -10,7 +10,7 @@ from claimloom.functions.diagnostics import table_ready
 from claimloom.model import ALL_DATASETS, GOLD_PHI, POLICIES
 from claimloom.namespace import Namespace, properties, set_properties
 from claimloom.plans import analytics, eventlog, gold, quality, silver
-from claimloom.sinks import overwrite, overwrite_all, scratch, stage
+from claimloom.sinks import overwrite, publish_all, scratch, stage
 from claimloom.sources.snapshots import bronze_snapshot
 
 SILVER_DATASETS = ("providers", "diagnosis", "cost", "claims", "policy_chunks")
@@ -106,7 +106,7 @@ def refresh_summaries(spark: SparkSession, bronze: Mapping[str, DataFrame], name
     frames = claim_summaries(
         bronze, silver_tables(spark, namespace), spark.read.table(namespace.quarantine("claims"))
     )
-    written = overwrite_all({namespace.analytics(n): df for n, df in frames.items()}, workers)
+    written = publish_all({namespace.analytics(n): df for n, df in frames.items()}, workers)
     return {
         name: table_ready("Analytics", written[namespace.analytics(name)], "analytics_build", "MINIMUM-NECESSARY")
         for name in frames
@@ -116,7 +116,7 @@ def refresh_summaries(spark: SparkSession, bronze: Mapping[str, DataFrame], name
 def refresh_quality(spark: SparkSession, namespace: Namespace) -> dict[str, str]:
     namespace.create(spark, ("analytics",))
     kept, held = silver_tables(spark, namespace), quarantine_tables(spark, namespace)
-    return overwrite_all({
+    return publish_all({
         namespace.analytics("ops_silver_table_status"): quality.table_status(kept, held, namespace),
         namespace.analytics("ops_quarantine_summary"): quality.quarantine_summary(held),
     })
@@ -125,4 +125,4 @@ def refresh_quality(spark: SparkSession, namespace: Namespace) -> dict[str, str]
 def refresh_event_tables(spark: SparkSession, events: DataFrame, namespace: Namespace, workers: int = 4) -> dict[str, str]:
     """Write the four event-log tables. Each reads only its own columns and event types of the stored log."""
     namespace.create(spark, ("analytics",))
-    return overwrite_all({namespace.analytics(n): build(events) for n, build in eventlog.TABLES.items()}, workers)
+    return publish_all({namespace.analytics(n): build(events) for n, build in eventlog.TABLES.items()}, workers)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import threading
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 OVERWRITE_CONF = "spark.sql.sources.partitionOverwriteMode"
 #: Ranges of a column on the space-filling curve, a power of two, and the rows their edges are taken from.
 STEPS = 64
+#: Stands between a published name and the number of a version.
+VERSION = "__v"
 SAMPLED = 4096
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 _own_folder: dict[str, str] = {}
@@ -136,6 +139,39 @@ def overwrite(df: DataFrame, table: str, cluster: Sequence[str] = ()) -> str:
     return table
 
 
+def _versions(spark: SparkSession, name: str) -> list[str]:
+    """Tables that hold versions of a published name, full names."""
+    database, _, short = name.rpartition(".")
+    found = spark.catalog.listTables(database or None)
+    return [f"{database}.{t.name}" if database else t.name for t in found if re.fullmatch(rf"{re.escape(short)}{VERSION}[0-9a-f]{{32}}", t.name)]
+
+
+def publish(df: DataFrame, name: str, cluster: Sequence[str] = ()) -> str:
+    """Show the rows of ``df`` under ``name`` once all of them are written.
+
+    Rows go to a table of their own; then one statement turns the view ``name`` to it. Until then readers see the old
+    rows, also if the job dies while it writes, and ``df`` may itself read ``name``. The version before stays until
+    the next call, so that reads under way can end; what else is left over goes. One writer at a time for a name. A plain
+    table of that name becomes its first version.
+    """
+    spark = df.sparkSession
+    held = _versions(spark, name)
+    version = overwrite(df, f"{name}{VERSION}{uuid.uuid4().hex}", cluster)
+    shown = None
+    if spark.catalog.tableExists(name):
+        if spark.catalog.getTable(name).tableType == "VIEW":
+            text = spark.sql(f"SHOW CREATE TABLE {name}").first()[0]
+            shown = next((v for v in held if v.rpartition(".")[2] in text), None)
+        else:
+            shown = f"{name}{VERSION}{uuid.uuid4().hex}"
+            spark.sql(f"ALTER TABLE {name} RENAME TO {shown}")
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {version}")
+    for old in held:
+        if old != shown:
+            spark.sql(f"DROP TABLE IF EXISTS {old}")
+    return name
+
+
 def replace_self(df: DataFrame, table: str, cluster: Sequence[str] = ()) -> str:
     """Replace ``table`` with a frame that reads it: written aside first, then swapped in."""
     with scratch(df.sparkSession):
@@ -172,10 +208,10 @@ def append(df: DataFrame, table: str) -> str:
     return table
 
 
-def overwrite_all(frames: Mapping[str, DataFrame], workers: int = 4) -> dict[str, str]:
-    """Write several tables; up to ``workers`` writes run at a time as concurrent Spark jobs."""
+def publish_all(frames: Mapping[str, DataFrame], workers: int = 4) -> dict[str, str]:
+    """Publish several tables; up to ``workers`` writes run at a time as concurrent Spark jobs."""
     if workers <= 1 or len(frames) < 2:
-        return {table: overwrite(df, table) for table, df in frames.items()}
+        return {table: publish(df, table) for table, df in frames.items()}
     with ThreadPoolExecutor(max_workers=min(workers, len(frames))) as pool:
-        written = pool.map(lambda item: overwrite(item[1], item[0]), frames.items())
+        written = pool.map(lambda item: publish(item[1], item[0]), frames.items())
         return dict(zip(frames, written))

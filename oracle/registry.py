@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +22,7 @@ from claimloom.operators import drift, expectations, flags, profiling, rules
 from claimloom.operators.activity import provider_days
 from claimloom.operators.newest import PRIORITY, mark_newest, upsert
 from claimloom.plans import analytics, eventlog, gold, incremental, labels, modelling, quality, refresh, silver
-from claimloom.sinks import clustered, replace_partitions, shared_folder, stage, stage_all
+from claimloom.sinks import clustered, publish, replace_partitions, shared_folder, stage, stage_all
 from claimloom.sources.snapshots import landed_csv
 from claimloom.sources.testbed import Layers
 from claimloom.streaming import ingest
@@ -1276,6 +1277,23 @@ def _(L):
 # --- Sinks ---------------------------------------------------------------------------------
 
 
+@query("snk3_published_rows", "SELECT diagnosis_code, category, severity FROM t_diagnosis")
+def _(L):
+    """Rows published in place of others; a job that dies in between changes nothing."""
+    name = f"published_{uuid.uuid4().hex[:12]}.diagnosis"
+    L.spark.sql(f"CREATE DATABASE {name.split('.')[0]}")
+    rows = L.trusted("diagnosis").select("diagnosis_code", "category", "severity")
+    publish(rows.limit(1), name)
+    publish(rows, name)
+    try:
+        publish(rows.withColumn("severity", F.raise_error(F.col("diagnosis_code")).cast("string")), name)
+    except PySparkException:
+        pass
+    found = stage(L.spark.read.table(name), "published")
+    L.spark.sql(f"DROP DATABASE {name.split('.')[0]} CASCADE")
+    return found
+
+
 @query("snk_clustered_stage", "SELECT claim_id, CAST(date AS VARCHAR) AS date, rule_name FROM v_claims")
 def _(L):
     rows = L.validated("claims").select("claim_id", "date", F.col("_failure.rule_name").alias("rule_name"))
