@@ -10,7 +10,7 @@ import threading
 import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from functools import reduce
 from operator import add
 
@@ -46,6 +46,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _open = threading.local()
+_unowned: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _delete_unowned() -> None:
+    for spark, path in _unowned:
+        with suppress(Exception):  # the session may be gone
+            delete(spark, path)
 
 
 @contextmanager
@@ -73,13 +81,16 @@ def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once and read it back, so that later uses scan files instead of recomputing.
 
     The stage lies in the shared folder, so losing an executor costs nothing, and column pruning
-    and filters reach its scans. It goes with the :func:`scratch` block it was written in.
+    and filters reach its scans. It goes with the :func:`scratch` block it was written in; outside of
+    any block a frame may read it at any time, so it goes when the program ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage/{name}-{uuid.uuid4().hex}"
     stack = _open.__dict__.get("stack", [])
     if len(stack) > keep:
         stack[-1 - keep].append(path)
+    else:
+        _unowned.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
