@@ -5,7 +5,6 @@ import math
 
 import duckdb
 import numpy as np
-import pytest
 
 from claimloom.llm import centroids, registry
 
