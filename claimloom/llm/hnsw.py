@@ -5,23 +5,24 @@ its hash, in a few above, which are ever smaller. A search goes down the layers
 vectors met. Many searches move in step, so the work is array operations. Blocks of queries meet every
 shard.
 
-Before that, a sample of all queries is compared with every whole shard, and its links to other vectors are
-added up per shard. A shard's beam is the narrowest that finds nearly all of them, and only if they are many
-enough to show it; a shard without such a beam is compared whole with every query, and so is a query whose
-beam is full of links. Links are verified in double precision. A meeting puts out counts and a spanning
-forest of its links, never all pairs.
+The beam of a shard is found by evidence that every table gives: made probes, unit vectors at a known cosine
+from stored ones, are compared with the whole shard, and the narrowest beam that finds nearly all of their
+links is taken. A bounded sample of real vectors is a second witness: where its links to other vectors are many
+enough and the beam misses some, the beam is widened. Only a shard in which no beam passes is compared whole with every
+query, and so is a query whose beam is full of links. Links are verified in double precision. A meeting puts
+out counts and a spanning forest of its links, never all pairs.
 
 Vectors with equal components are one class, so copies do not crowd the graphs.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.llm.components import Forest, components, sized
@@ -29,17 +30,20 @@ from claimloom.llm.hashing import mix
 from claimloom.sinks import scratch, stage
 
 COSINE = 0.9
-#: A shard holds at most about so many classes; there are at least ``SHARDS``.
-SHARD_ROWS, SHARDS = 50_000, 8
-BLOCK_ROWS = 8192
+#: A shard holds at most about so many classes and so many bytes; there are at least ``SHARDS``.
+SHARD_ROWS, SHARD_BYTES, SHARDS = 50_000, 1 << 25, 8
+#: So do the blocks of queries.
+BLOCK_ROWS, BLOCK_BYTES = 8192, 1 << 23
 LINKS = 16
 BUILD_BEAM = 48
 #: Beams that are tried, in order. Past the last one a search costs more than the whole shard.
 BEAMS = (32, 64, 128, 256)
 STEP_ROWS, STEP_NODES = 512, 4096
 VERIFY_ROWS = 1 << 16
-#: The sample is this share of all classes, at least so many; a beam is judged on at least so many links.
-AUDIT_SHARE, AUDIT_ROWS = 0.04, 4096
+#: Made probes of a shard and the range of their cosines to the vectors they are made from.
+PROBES, PROBE_NEAR = 1024, (COSINE + 0.001, COSINE + 0.05)
+#: About so many real vectors are asked too; they judge a beam from so many links on.
+AUDIT_ROWS = 4096
 AUDIT_LINKS, AUDIT_RECALL = 1000, 0.995
 
 
@@ -231,6 +235,31 @@ def audit(graph: Graph, queries: np.ndarray, own: np.ndarray, width: int, thresh
     return wanted, got
 
 
+def probes(exact: np.ndarray, keys: np.ndarray, many: int = PROBES) -> np.ndarray:
+    """Unit vectors at ``PROBE_NEAR`` to stored ones, which are taken in the order of their hashes; the same in every run."""
+    target = exact[np.resize(np.argsort(mix(keys.astype(np.uint64)), kind="stable"), many)]
+    side = np.random.default_rng(len(exact)).standard_normal(target.shape)
+    side -= (side * target).sum(1, keepdims=True) * target
+    side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-12)
+    near = np.linspace(*PROBE_NEAR, many)[:, None]
+    made = near * target + np.sqrt(1 - near**2) * side
+    return made / np.linalg.norm(made, axis=1, keepdims=True)
+
+
+def probed_beam(graph: Graph, exact: np.ndarray, keys: np.ndarray) -> int:
+    """The narrowest beam that finds nearly all links of the probes; 0 if none does.
+
+    Probes with full beams are no evidence, so at least half as many links as probes must be judged.
+    """
+    asked = probes(exact, keys)
+    alone = np.full(len(asked), -1)
+    for width in BEAMS:
+        wanted, got = audit(graph, asked, alone, width)
+        if wanted >= len(asked) // 2 and got >= AUDIT_RECALL * wanted:
+            return width
+    return 0
+
+
 def found_links(graph: Graph, exact: np.ndarray, queries: np.ndarray, width: int, threshold: float = COSINE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks (query, node) of all links found by beams of ``width``, ordered by query; width 0 compares all.
 
@@ -275,13 +304,14 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 def _build(group: pa.Table) -> pa.Table:
     group = group.sort_by("node")
     exact = _matrix(group.column("vector"))
-    graph = Graph(exact.astype(np.float32), group.column("node").to_numpy())
+    keys = group.column("node").to_numpy()
+    graph = Graph(exact.astype(np.float32), keys)
     row = {
         "dimension": group.column("dimension")[0].as_py(), "shard": group.column("shard")[0].as_py(),
         "nodes": group.column("node").to_numpy().astype(np.int64).tobytes(), "copies": group.column("copies").to_numpy().astype(np.int64).tobytes(),
-        "vectors": exact.tobytes(), "graph": graph.to_bytes(),
+        "vectors": exact.tobytes(), "graph": graph.to_bytes(), "probed": probed_beam(graph, exact, keys),
     }
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.int32()]
     return pa.Table.from_pylist([row], schema=pa.schema(list(zip(row, kinds))))
 
 
@@ -343,31 +373,33 @@ def _every(n: int):
 
 
 def _beams(graphs: DataFrame, classes: DataFrame, count: int, shards: int) -> DataFrame:
-    """dimension, shard, width of the shards whose beam has shown that it finds nearly all links."""
+    """dimension, shard, width of the shards with a beam that its probes have shown and no real links speak against.
+
+    A shard with too few real links of its own is judged by those of all shards of its dimension and beam.
+    """
     key = ["dimension", "shard"]
-    share = min(1.0, max(AUDIT_SHARE, AUDIT_ROWS / max(1, count)))
-    parts = max(1, math.ceil(share * count / BLOCK_ROWS))
-    picked = classes.filter(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = stage(picked.withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(parts)).cast("int")), "vector-sample")
-    asked = sample.withColumn("shard", _every(shards)).select(*key, "part", "node", "vector")
-    shown, left = None, graphs
-    for width in BEAMS:
+    share = min(1.0, AUDIT_ROWS / max(1, count))
+    sample = stage(classes.filter(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(1 << 20)) < int(share * (1 << 20))), "vector-sample")
+    asked = sample.withColumn("shard", _every(shards)).select(*key, "node", "vector")
+    wider = F.create_map(*(F.lit(x) for pair in zip(BEAMS, BEAMS[1:]) for x in pair))[F.col("width")]
+    alike = Window.partitionBy("dimension", "width")
+    own = F.col("wanted") >= AUDIT_LINKS
+    wanted, got = (F.when(own, F.col(c)).otherwise(F.sum(c).over(alike)) for c in ("wanted", "got"))
+    shown, left = [], graphs.filter("probed > 0").select(*key, F.col("probed").alias("width"))
+    for _ in BEAMS:
         counted = stage(
-            left.withColumn("width", F.lit(width)).withColumn("part", _every(parts)).groupBy(*key, "part")
-            .cogroup(asked.groupBy(*key, "part"))
-            .applyInArrow(_audit, "dimension int, shard int, wanted long, got long")
-            .groupBy(*key).agg(F.sum("wanted").alias("wanted"), F.sum("got").alias("got")),
+            graphs.join(sized(left), key).groupBy(*key).cogroup(asked.groupBy(*key))
+            .applyInArrow(_audit, "dimension int, shard int, wanted long, got long"),
             "vector-audit",
         )
-        judged = counted.filter(F.col("wanted") >= AUDIT_LINKS)
-        good = judged.filter(F.col("got") >= AUDIT_RECALL * F.col("wanted")).select(*key, F.lit(width).alias("width"))
-        shown = good if shown is None else shown.unionByName(good)
-        # Wider beams are tried only where links are many enough to judge them.
-        poor = judged.filter(F.col("got") < AUDIT_RECALL * F.col("wanted")).select(*key)
-        if poor.isEmpty():
+        judged = left.join(sized(counted), key, "left").fillna(0, ["wanted", "got"])
+        poor = (wanted >= AUDIT_LINKS) & (got < AUDIT_RECALL * wanted)
+        judged = stage(judged.withColumn("poor", poor), "vector-beams")
+        shown.append(judged.filter("not poor").select(*key, "width"))
+        left = judged.filter("poor").select(*key, wider.alias("width")).filter("width is not null")
+        if left.isEmpty():
             break
-        left = left.join(sized(poor), key, "left_semi")
-    return shown
+    return reduce(DataFrame.unionByName, shown)
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -398,12 +430,13 @@ def _linked(rows: DataFrame) -> DataFrame:
         members.groupBy("vector").agg(F.min("node").alias("node"), F.count("*").alias("copies"))
         .withColumn("dimension", F.size("vector")), "vector-classes",
     )
-    count = classes.count()
-    shards = max(SHARDS, -(-count // SHARD_ROWS))
-    blocks = max(1, -(-count // BLOCK_ROWS))
+    # A vector with its links takes about as many bytes as its numbers and 256 more.
+    count, size = classes.agg(F.count("*"), F.coalesce(F.sum(F.col("dimension").cast("long") * 8 + 256), F.lit(0))).first()
+    shards = max(SHARDS, -(-count // SHARD_ROWS), -(-size // SHARD_BYTES))
+    blocks = max(1, -(-count // BLOCK_ROWS), -(-size // BLOCK_BYTES))
     dealt = classes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
     graphs = stage(
-        dealt.groupBy("dimension", "shard").applyInArrow(_build, "dimension int, shard int, nodes binary, copies binary, vectors binary, graph binary"),
+        dealt.groupBy("dimension", "shard").applyInArrow(_build, "dimension int, shard int, nodes binary, copies binary, vectors binary, graph binary, probed int"),
         "vector-graphs",
     )
     beams = sized(_beams(graphs, classes, count, shards))

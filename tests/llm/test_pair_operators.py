@@ -334,3 +334,26 @@ def test_queries_equal_their_sql(spark, name):
     assert sorted(want.columns) == columns
     fast = sorted(map(str, (tuple(r[c] for c in columns) for r in out.collect())))
     assert fast == sorted(map(str, want.select(*columns).fetchall()))
+
+
+def test_beam_comes_from_made_probes(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    vectors = _families(rng, 3000, 1, 64, 0.0)
+    keys = np.arange(3000)
+    made = hnsw.probes(vectors, keys)
+    best = (made @ vectors.T).max(1)
+    assert np.array_equal(made, hnsw.probes(vectors, keys)) and ((best >= hnsw.COSINE) & (best < 0.96)).all()
+    graph = hnsw.Graph(vectors.astype(np.float32), keys)
+    assert hnsw.probed_beam(graph, vectors, keys) > 0
+    # No link in the table, yet every shard is asked through its graph.
+    monkeypatch.setattr(hnsw, "SHARDS", 2)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    seen = []
+    monkeypatch.setattr(hnsw, "sized", lambda df: seen.append(df.collect()) or df)
+    assert all(tuple(r)[1:] == (0, r["vec_id"], True) for r in hnsw.near_duplicates(frame).collect())
+    widths = [r["width"] for rows in seen for r in rows if "width" in r]
+    assert len(widths) >= 2 and min(widths) >= hnsw.BEAMS[0]
+    # A line has no side to go to, and where every beam is full nothing is shown.
+    assert np.allclose(hnsw.probes(np.ones((2, 1)), np.arange(2)), 1.0)
+    group = _families(rng, 1, 600, 16, 0.001)
+    assert hnsw.probed_beam(hnsw.Graph(group.astype(np.float32), np.arange(600)), group, np.arange(600)) == 0
