@@ -18,7 +18,7 @@ from claimloom.functions import privacy
 from claimloom.functions import text as TX
 from claimloom.functions.events import typed
 from claimloom.namespace import Namespace
-from claimloom.operators import drift, expectations, flags, profiling, rules
+from claimloom.operators import drift, expectations, flags, profiling, retrieval, rules
 from claimloom.operators.activity import provider_days
 from claimloom.operators.newest import PRIORITY, mark_newest, upsert
 from claimloom.plans import analytics, eventlog, gold, incremental, labels, modelling, quality, refresh, silver
@@ -1243,6 +1243,16 @@ def _(L):
     return quality.quarantine_alerts(_status(L))
 
 
+@query("doc4_nearest_chunks", """SELECT query_id, rank, match_id, round(similarity, 6) AS similarity FROM (
+  SELECT q.vec_id AS query_id, r.vec_id AS match_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) AS similarity,
+    CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) DESC, r.vec_id) AS INT) AS rank
+  FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0) x WHERE rank <= 5""")
+def _(L):
+    rows = L.source("embeddings")
+    found = retrieval.nearest(rows.where(F.col("vec_id") % 20 == 0), rows, 5)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 @query("doc5_revenue_funnel", """SELECT 'billed' AS stage, CAST(sum(billed_amount) AS DOUBLE) AS amount FROM t_claims
   UNION ALL SELECT 'allowed', CAST(sum(allowed_amount) AS DOUBLE) FROM t_claims UNION ALL SELECT 'paid', CAST(sum(paid_amount) AS DOUBLE) FROM t_claims""")
 def _(L):

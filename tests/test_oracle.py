@@ -16,7 +16,7 @@ from tests.conftest import SMALL
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 SAMPLE = ("snk2_incremental_claims", "snk2_incremental_quarantine", "src1_record_forms", "aud4_marked_records", "src4_bronze_snapshot", "exp1_9_claims_expectations", "cln3_normalize_title", "val4_claim_rules", "val11_reconciliation", "txt8_policy_chunks",
           "gld16_claim_features", "anl10_denial_reasons", "ops2_quarantine_summary", "ops5_user_actions_struct", "prf5_amount_summary",
-          "lbl3_applied_labels", "ml8_evaluation", "doc2_stability_index")
+          "lbl3_applied_labels", "doc4_nearest_chunks", "ml8_evaluation", "doc2_stability_index")
 
 
 @pytest.fixture(scope="module")
