@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimloom.operators.lookups import lookup
-from claimloom.operators.newest import PRIORITY, keep_newest, mark_newest, number_copies, upsert
+from claimloom.operators.newest import PRIORITY, keep_newest, mark_newest, mark_newest_grouped, number_copies, upsert
 
 COLUMNS = "k string, v string, _ingested_at int, _pipeline_run_id string, _source_file string"
 ROWS = [
@@ -70,3 +70,27 @@ def test_lookup_null_keys_and_null_safe(spark, small_broadcasts_off):
     assert strict == {1: None, 2: None, 3: "B"}
     safe = {r["id"]: r["x"] for r in lookup(rows, table, on=["k", "d"], null_safe=["d"]).collect()}
     assert safe == {1: "A", 2: None, 3: "B"}
+
+
+@pytest.mark.parametrize("hot_rows", [1, 2, 1_000])
+def test_rows_grouped_by_key_are_marked_alike(spark, hot_rows):
+    df = spark.createDataFrame(ROWS, COLUMNS).repartition(3)
+    assert priorities(mark_newest_grouped(df, ["k"], hot_rows=hot_rows)) == EXPECTED
+    numbered = spark.createDataFrame([(*r, i // 2) for i, r in enumerate(ROWS)], COLUMNS + ", _row_id int")
+    assert priorities(mark_newest_grouped(numbered, ["k"], hot_rows=hot_rows)) == priorities(mark_newest(numbered, ["k"]))
+
+
+def test_grouped_rows_cross_one_shuffle_and_a_hot_key_is_dealt_out(spark, small_broadcasts_off):
+    hot = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.col("id").cast("string")).alias("k"), F.lit("v").alias("v"),
+        F.col("id").alias("_ingested_at"), F.lit("r").alias("_pipeline_run_id"), F.lit("f").alias("_source_file"), F.col("id").alias("_row_id"))
+    marked = mark_newest_grouped(hot, ["k"])
+    assert marked._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
+    assert "Join" not in marked._jdf.queryExecution().optimizedPlan().toString()
+    spread = mark_newest_grouped(hot, ["k"], hot_rows=5_000)
+    assert {r[0]: r[1] for r in spread.groupBy(PRIORITY).count().collect()} == {1: 20_001, 2: 9_999}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert max(r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()) < 12_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
