@@ -18,6 +18,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +28,12 @@ from claimloom.llm.common import with_id
 CHUNK = 1 << 15
 OVERLAP = 512
 GUARD = 4
-CACHE = 1 << 17
-SLICE = 256
+CACHE = 1 << 16
+#: Characters of the texts whose new pieces are merged together; a text is never cut for it.
+SLICE = 1 << 18
 LONG_PIECE = 256
+#: Longest piece that is remembered.
+KEPT = 64
 
 _SCHEMA = "ids array<int>, decoded binary"
 _PART = "digest string, chunk int, start long, last boolean, text string"
@@ -52,6 +56,7 @@ class Codec:
             self.bytes[rank] = token
         self.single = [array("i", [rank]).tobytes() for rank in range(len(self.bytes))]
         self.known = _Memory(self._piece)
+        self.joins = Joins(ranks)
 
     def _piece(self, piece: str) -> bytes:
         """Ids as 32-bit numbers: a third of the room that a tuple of them takes."""
@@ -62,11 +67,26 @@ class Codec:
         return array("i", merged(raw, self.ranks) if len(raw) < LONG_PIECE else merged_long(raw, self.ranks)).tobytes()
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, self.pieces.findall(text)))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; the pieces that are new in all of them are merged at once."""
+        split = [self.pieces.findall(text) for text in texts]
+        self._learn(set().union(*split))
+        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
+
+    def _learn(self, pieces: set[str]) -> None:
+        known, older = self.known, self.known.older
+        new = [p for p in pieces if p not in known and p not in older and len(p) < KEPT]
+        raws = [p.encode("utf-8", "surrogatepass") for p in new]
+        whole = [self.ranks.get(raw) for raw in raws]
+        merged = iter(self.joins.merged([raw for raw, rank in zip(raws, whole) if rank is None]))
+        known.keep({p: next(merged) if rank is None else self.single[rank] for p, rank in zip(new, whole)})
 
     def encode_pieces(self, text: str) -> tuple[list[int], list[int], list[int]]:
         """Ends of the pieces, the number of ids up to each end, and the ids."""
         pieces = self.pieces.findall(text)
+        self._learn(set(pieces))
         ids = [self.known[p] for p in pieces]
         return list(accumulate(map(len, pieces))), list(accumulate(len(i) // 4 for i in ids)), array("i", b"".join(ids)).tolist()
 
@@ -75,7 +95,7 @@ class Codec:
 
 
 class _Memory(dict):
-    """Results by argument in two generations of at most ``CACHE`` entries each."""
+    """Results by argument in two generations of at most ``CACHE`` entries each, or as many as were added at once."""
 
     def __init__(self, compute):
         self.compute, self.older = compute, {}
@@ -84,12 +104,80 @@ class _Memory(dict):
         value = self.older.get(key)
         if value is None:
             value = self.compute(key)
-        if len(self) >= CACHE:
+        if len(key) < KEPT:
+            self.keep({key: value})
+        return value
+
+    def keep(self, values: dict) -> None:
+        if len(self) + len(values) > CACHE:
             self.older = dict(self)
             self.clear()
-        if len(key) < 64:
-            self[key] = value
-        return value
+        self.update(values)
+
+
+class Joins:
+    """Merges many pieces together: in each round every piece joins its pair of lowest rank, the leftmost of equals."""
+
+    NONE = np.iinfo(np.int32).max
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        pairs = sorted(
+            (left << 32 | right, rank)
+            for token, rank in ranks.items()
+            for i in range(1, len(token))
+            if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None
+        )
+        self.keys = np.array([k for k, _ in pairs] + [np.iinfo(np.int64).max], np.int64)
+        self.joined = np.array([r for _, r in pairs] + [self.NONE], np.int32)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, which is the id of the two as one; ``NONE`` for pairs that are no token."""
+        key = left << 32 | right
+        place = np.searchsorted(self.keys, key)
+        return np.where(self.keys[place] == key, self.joined[place], self.NONE)
+
+    def merged(self, raws: list[bytes]) -> list[bytes]:
+        """What :func:`merged` gives for each piece, none of them empty, as 32-bit numbers."""
+        out: list[bytes] = [b""] * len(raws)
+        if not raws:
+            return out
+        ids = self.byte[np.frombuffer(b"".join(raws), np.uint8)]
+        if (ids < 0).any():
+            return [array("i", merged(raw, self.ranks)).tobytes() for raw in raws]
+        number = np.arange(len(raws))  # of the pieces still in work
+        size = np.array([len(raw) for raw in raws])
+        starts = np.cumsum(size) - size
+        rank = np.full(len(ids), self.NONE, np.int32)  # of each id with the one behind it
+        rank[:-1] = self._ranks(ids[:-1], ids[1:])
+        rank[starts + size - 1] = self.NONE
+        while True:
+            low = np.minimum.reduceat(rank, starts)
+            going = low != self.NONE
+            if not going.all():
+                flat = ids.astype(np.int32).tobytes()
+                over = ~going
+                for n, start, end in zip(number[over].tolist(), (starts[over] * 4).tolist(), ((starts + size)[over] * 4).tolist()):
+                    out[n] = flat[start:end]
+                if not going.any():
+                    return out
+                stay = np.repeat(going, size)
+                ids, rank, number, size, low = ids[stay], rank[stay], number[going], size[going], low[going]
+                starts = np.cumsum(size) - size
+            found = np.flatnonzero(rank == np.repeat(low, size))
+            at = found[np.searchsorted(found, starts)]
+            ids[at] = low
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            rank[at] = rank[at + 1]  # NONE if the pair was the last of its piece
+            ids, rank, size = ids[stay], rank[stay], size - 1
+            at -= np.arange(len(at))
+            inner = at[at > starts - np.arange(len(at))]
+            starts = np.cumsum(size) - size
+            behind = at[at + 1 < starts + size]
+            rank[behind] = self._ranks(ids[behind], ids[behind + 1])
+            rank[inner - 1] = self._ranks(ids[inner - 1], ids[inner])
 
 
 def merged(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -200,6 +288,18 @@ def _ids_before(part: dict, boundary: int) -> int:
     return part["cuts"][list(part["ends"]).index(boundary)]
 
 
+def slices(sizes: list[int], most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """(first, number) of neighbours that hold at most ``most`` characters together; a longer text is alone."""
+    first = total = 0
+    for i, size in enumerate(sizes):
+        if total + size > most and i > first:
+            yield first, i - first
+            first, total = i, 0
+        total += size
+    if sizes:
+        yield first, len(sizes) - first
+
+
 _last: list = [None, None, None]
 
 
@@ -228,10 +328,9 @@ def encode_decode(
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                ids = [codec.encode(t) for t in part.column("text").to_pylist()]
-                yield _result(part.column("doc_id"), ids, codec)
+            for at, n in slices(pc.utf8_length(batch.column("text")).to_pylist()):
+                part = batch.slice(at, n)
+                yield _result(part.column("doc_id"), codec.encode_all(part.column("text").to_pylist()), codec)
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib

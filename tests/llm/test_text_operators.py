@@ -125,6 +125,30 @@ def test_long_pieces_merge_alike(reference):
         assert bpe.merged(text.encode(), ranks) == bpe.merged_long(text.encode(), ranks) == reference.encode_ordinary(text)
 
 
+def test_new_pieces_are_merged_together(reference, monkeypatch):
+    ranks = bpe.load_ranks(RANKS)
+    rnd = random.Random(7)
+    raws = [bytes(rnd.choices(b"ab \n=-e\xc3\xa9\x00\xff", k=rnd.randint(1, 60))) for _ in range(2000)]
+    assert [list(bpe.array("i", ids)) for ids in bpe.Joins(ranks).merged(raws)] == [bpe.merged(raw, ranks) for raw in raws]
+    assert bpe.Joins(ranks).merged([]) == []
+    short = {bytes([b]): b for b in range(100)} | {b"ab": 200, b"bc": 201, b"aab": 202}  # lacks bytes and ids
+    assert [list(bpe.array("i", ids)) for ids in bpe.Joins(short).merged([b"aabc", b"a", b"bcab"])] == [[202, 99], [97], [201, 200]]
+    words = ["".join(rnd.choices("abcdefghijklmnopé", k=rnd.randint(3, 20))) for _ in range(6000)]
+    texts = [" ".join(rnd.choices(words, k=rnd.randint(0, 400))) for _ in range(60)]
+
+    def alone(raw, ranks):
+        raise AssertionError("merged by itself")
+
+    monkeypatch.setattr(bpe, "merged", alone)
+    codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
+    parts = list(bpe.slices([len(t) for t in texts], 5000))
+    assert [n for first, k in parts for n in range(first, first + k)] == list(range(60)) and 1 < len(parts) < 60
+    found = [ids for first, k in parts for ids in codec.encode_all(texts[first : first + k])]
+    assert [list(bpe.array("i", ids)) for ids in found] == [reference.encode_ordinary(t) for t in texts]
+    assert codec.encode_pieces(texts[1])[2] == reference.encode_ordinary(texts[1])
+    assert list(bpe.slices([])) == []
+
+
 def test_token_edges(odd, reference):
     rows = bpe.encode_decode(odd, RANKS, public_tokenizers.PATTERN).collect()
     assert len(rows) == 8 and sum(r["doc_id"] == 1 for r in rows) == 2
