@@ -124,3 +124,61 @@ def test_a_refresh_that_died_is_repeated(spark, land, monkeypatch):
     assert all(incremental.pending(spark, names).values())
     incremental.refresh_changes(spark, names, BUCKETS, layers.as_of)
     equal_to_whole(spark, names, layers, layers.as_of)
+
+
+def shuffled_columns(df):
+    """Numbers of columns that the shuffles of a plan carry."""
+    plan, out = df._jdf.queryExecution().executedPlan(), []
+    nodes = [plan.inputPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "Exchange":
+            out.append(node.output().size())
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def test_claims_are_kept_and_judged_without_shuffling_their_rows(spark, monkeypatch):
+    names = Namespace(prefix="unshuffled_")
+    names.create(spark, ("bronze", "silver", "quarantine"))
+    shape = "claim_id string, patient_id string, provider_id string, diagnosis_code string, procedure_code string, billed_amount string, " \
+        "date string, claim_status string, denial_reason_code string, allowed_amount string, paid_amount string, is_denied string, " \
+        "follow_up_required string, _ingested_at int, _source_file string, _pipeline_run_id string, _row_id string"
+
+    def claim(key, number, provider="p1", patient="P"):
+        return (key, patient, provider, "d1", "x", "1.5", "2024-01-02", "OK", "NONE", "1", "1", "no", "no", number, "f", "r", f"row{number}")
+
+    landed = [
+        [claim(" c1 ", 1), claim("c2", 2), claim(None, 3), claim(" ", 4), claim("c3", 5, "p2"), claim("c4", 6)],
+        [claim("C1", 7), claim("c2", 0), claim("c3", 8, "p2", None), claim("c5", 9), claim("c5", 9)],
+    ]
+    audit = "_ingested_at int, _source_file string, _pipeline_run_id string, _row_id string"
+    providers = [("p1", "Dr A", "Skin", "X", 1, "f", "r", "p1"), ("P2", "Dr B", "Skin", "X", 1, "f", "r", "p2")]
+    widest, done = {}, incremental.replace_partitions
+
+    def watching(frame, table, *args, **kwargs):
+        widest[table] = max([widest.get(table, 0), *shuffled_columns(frame)])
+        return done(frame, table, *args, **kwargs)
+
+    monkeypatch.setattr(incremental, "replace_partitions", watching)
+    now = F.to_timestamp(F.lit("2024-06-01"))
+    try:
+        for batch, rows in enumerate(landed):
+            tables = {
+                "claims": spark.createDataFrame(rows, shape),
+                "providers": spark.createDataFrame(providers[batch:batch + 1], f"provider_id string, doctor_name string, specialty string, location string, {audit}"),
+                "diagnosis": spark.createDataFrame([("D1", "heart", "low", 1, "f", "r", "d1")] * (batch == 0), f"diagnosis_code string, category string, severity string, {audit}"),
+            }
+            for dataset, frame in tables.items():
+                done(frame.withColumn(BATCH, F.lit(batch)), names.bronze(dataset), (BATCH,))
+            incremental.refresh_changes(spark, names, BUCKETS, now)
+        held = {t(d): widest[t(d)] for d in ("claims",) for t in (lambda d: incremental.keyed(names, d), names.silver, names.quarantine)}
+        assert max(held.values()) <= 2, held
+        trusted = sorted((r["claim_id"], r["_ingested_at"]) for r in spark.read.table(names.silver("claims")).collect())
+        assert trusted == [("C1", 7), ("C2", 2), ("C4", 6), ("C5", 9), ("C5", 9)]
+        failed = Counter((r["claim_id"], r["rule_name"]) for r in spark.read.table(names.quarantine("claims")).collect())
+        assert failed == {(None, "missing_claim_id"): 2, ("C1", "duplicate_claim_id"): 1, ("C2", "duplicate_claim_id"): 1,
+                          ("C3", "duplicate_claim_id"): 1, ("C3", "missing_patient_id"): 1}
+    finally:
+        for layer in ("bronze", "silver", "quarantine"):
+            spark.sql(f"DROP DATABASE {names.database(layer)} CASCADE")

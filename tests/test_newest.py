@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimloom.operators.lookups import lookup
-from claimloom.operators.newest import PRIORITY, keep_newest, mark_newest, mark_newest_grouped, number_copies, upsert
+from claimloom.operators.newest import DEALT, PRIORITY, deal_out, keep_newest, mark_newest, mark_newest_bucketed, mark_newest_grouped, number_copies, upsert
 
 COLUMNS = "k string, v string, _ingested_at int, _pipeline_run_id string, _source_file string"
 ROWS = [
@@ -94,3 +94,21 @@ def test_grouped_rows_cross_one_shuffle_and_a_hot_key_is_dealt_out(spark, small_
         assert max(r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()) < 12_000
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("hot_rows", [1, 2, 1_000])
+def test_bucketed_rows_are_marked_alike_without_a_shuffle(spark, small_broadcasts_off, hot_rows):
+    df = spark.createDataFrame([(*r, i // 2) for i, r in enumerate(ROWS)] + [("f", "v", 1, "r", "f", None)] * 2, COLUMNS + ", _row_id int")
+    spark.sql("DROP TABLE IF EXISTS kept_by_key")
+    deal_out(df, ["k"], hot_rows=hot_rows).write.bucketBy(8, "k", DEALT).saveAsTable("kept_by_key")
+    try:
+        kept = spark.read.table("kept_by_key")
+        dealt = {r["k"] for r in kept.where(F.col(DEALT) != 0).collect()}
+        assert dealt == {None} | {k for k, n in {"a": 2, "c": 2, "d": 3, "e": 2, "f": 2}.items() if n > hot_rows}
+        marked = mark_newest_bucketed(kept, ["k"])
+        assert priorities(marked) == priorities(mark_newest(df, ["k"]))
+        assert marked.columns == [*df.columns, PRIORITY]
+        if dealt == {None}:
+            assert "Exchange" not in marked._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.sql("DROP TABLE kept_by_key")
