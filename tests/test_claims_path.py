@@ -68,3 +68,32 @@ def test_drift_reads_stored_claims_on_both_sides(layers):
 
     drifted = plan(QUERIES["lbl5_label_drift"].build(layers))
     assert "Window" not in drifted and "l_shipdate" not in drifted
+
+
+def test_the_tuning_query_searches_the_whole_grid(layers, monkeypatch):
+    import inspect
+
+    from oracle.registry import QUERIES
+
+    asked, whole = [], inspect.signature(modelling.tune_boosted)
+    found = {"maxDepth": 6, "stepSize": 0.1, "maxIter": 100}
+
+    def search(*args, **kwargs):
+        call = whole.bind(*args, **kwargs)
+        call.apply_defaults()
+        asked.append(call.arguments)
+        return None, found
+
+    monkeypatch.setattr(modelling, "tune_boosted", search)
+    rows = QUERIES["ml7_tuned_parameters"].build(layers).collect()
+    assert {r["parameter"]: r["value"] for r in rows} == found
+    (call,) = asked
+    assert (call["depths"], call["steps"], call["rounds"], call["folds"]) == ((3, 6, 10), (0.03, 0.1, 0.3), (50, 100), 5)
+
+
+def test_searches_of_few_rows_are_not_cut_into_tiny_partitions(spark):
+    frame = spark.range(0, 1000, 1, 4)
+    assert modelling.dealt(frame, least=400).rdd.getNumPartitions() == 3
+    assert modelling.dealt(frame, least=2000).rdd.getNumPartitions() == 1
+    assert modelling.dealt(frame, rows=100, least=2000).rdd.getNumPartitions() == 10
+    assert modelling.dealt(frame.limit(0)).rdd.getNumPartitions() >= 1
