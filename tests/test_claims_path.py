@@ -97,3 +97,34 @@ def test_searches_of_few_rows_are_not_cut_into_tiny_partitions(spark):
     assert modelling.dealt(frame, least=2000).rdd.getNumPartitions() == 1
     assert modelling.dealt(frame, rows=100, least=2000).rdd.getNumPartitions() == 10
     assert modelling.dealt(frame.limit(0)).rdd.getNumPartitions() >= 1
+
+
+def physical(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_contest_of_landed_claims_shuffles_nothing(layers):
+    found = physical(layers.validated("claims"))
+    assert "Exchange hashpartitioning(claim_id" not in found and "Bucketed: true" in found
+
+
+def test_claims_meet_their_activity_where_they_lie(layers, small_broadcasts_off):
+    found = physical(layers.gold())
+    # What is shuffled to the claims has a row for each provider and day; the claims' own columns stay.
+    scans = [line for line in found.splitlines() if "FileScan" in line and "patient_id" in line]
+    assert scans and all("Bucketed: true" in line for line in scans)
+
+
+def test_bucketed_stages_are_read_without_the_catalog(spark):
+    from claimloom.sinks import scratch, stage_bucketed
+
+    rows = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")
+    before = {t.name for t in spark.catalog.listTables()}
+    with scratch(spark):
+        kept = stage_bucketed(rows, "kept", 3, ("k",), "zstd")
+        assert {t.name for t in spark.catalog.listTables()} == before
+        assert kept.exceptAll(rows).isEmpty() and kept.count() == 1000
+        (path,) = {p.rsplit("/", 1)[0] for p in kept.inputFiles()}
+        assert "Exchange" not in physical(kept.groupBy("k").count())
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()

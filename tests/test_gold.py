@@ -115,3 +115,16 @@ def test_a_hot_key_is_split(spark, small_broadcasts_off):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_undated_claims_meet_their_providers_activity(spark):
+    claims = spark.createDataFrame(
+        [("a", "p", None), ("b", "p", "2024-01-01"), ("c", None, None), ("d", "q", None), ("e", "p", None)], "claim_id string, provider_id string, date string",
+    ).select("claim_id", "provider_id", F.to_date("date").alias("date"), F.lit("x").alias("diagnosis_code"), F.lit("y").alias("procedure_code"),
+             F.lit(1).cast("decimal(18,2)").alias("billed_amount"), F.lit(False).alias("is_denied"))
+    providers = spark.createDataFrame([("p", "Heart", "Here")], "provider_id string, specialty string, location string")
+    diagnosis = spark.createDataFrame([("x", "Heart", "High")], "diagnosis_code string, category string, severity string")
+    cost = spark.createDataFrame([("y", "Here")], "procedure_code string, region string").withColumns({c: F.lit(1).cast("decimal(18,2)") for c in ("average_cost", "expected_cost")})
+    columns = ("claim_id", "provider_claim_count", "provider_claim_count_30d", "specialty")
+    found = {r[0]: tuple(r)[1:] for r in gold.gold_features(claims, providers, diagnosis, cost, columns=columns).collect()}
+    assert found == {"a": (3, None, "Heart"), "b": (3, 1, "Heart"), "c": (None, None, None), "d": (1, None, None), "e": (3, None, "Heart")}

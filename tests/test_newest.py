@@ -112,3 +112,20 @@ def test_bucketed_rows_are_marked_alike_without_a_shuffle(spark, small_broadcast
             assert "Exchange" not in marked._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.sql("DROP TABLE kept_by_key")
+
+
+@pytest.mark.parametrize("hot_rows", [2, 1000])
+def test_slotted_rows_have_the_same_newest(spark, hot_rows):
+    from claimloom.operators.newest import SLOT, key_slot
+    from claimloom.sinks import stage_bucketed
+
+    rows = spark.range(600).select(
+        F.when(F.col("id") % 11 > 0, F.concat(F.lit("k"), F.least(F.col("id") % 90, F.lit(70)))).alias("k"),
+        F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id % 5 AS int))").alias("_ingested_at"),
+        F.when(F.col("id") % 13 > 0, F.lit("r")).alias("_pipeline_run_id"), F.lit("f").alias("_source_file"),
+        F.concat(F.lit("row"), "id").alias("_row_id"))
+    wanted = mark_newest(rows, ("k",))
+    kept = stage_bucketed(rows.withColumn(SLOT, key_slot([F.col("k")])), "slotted", 4, (SLOT,))
+    got = mark_newest_grouped(kept, ("k",), hot_rows=hot_rows)
+    assert got.columns == wanted.columns
+    assert got.exceptAll(wanted).isEmpty() and got.count() == 600
