@@ -115,6 +115,28 @@ def test_claims_meet_their_activity_where_they_lie(layers, small_broadcasts_off)
     assert scans and all("Bucketed: true" in line for line in scans)
 
 
+@pytest.fixture()
+def stored(monkeypatch):
+    """The columns of what a query stores itself."""
+    import oracle.registry as registry
+
+    found = {}
+
+    def kept(df, name, *args, **kwargs):
+        found[name] = df.columns
+        return df
+
+    monkeypatch.setattr(registry, "stage", kept)
+    return found
+
+
+def test_lineage_stores_what_it_reads(layers, stored):
+    from oracle.registry import QUERIES
+
+    QUERIES["anl15_claim_lineage"].build(layers)
+    assert stored["validated_claims"] == ["claim_id", "_ingested_at", "_silver_processed_at", "_failure"]
+
+
 def test_bucketed_stages_are_read_without_the_catalog(spark):
     from claimloom.sinks import scratch, stage_bucketed
 
