@@ -137,6 +137,14 @@ def test_lineage_stores_what_it_reads(layers, stored):
     assert stored["validated_claims"] == ["claim_id", "_ingested_at", "_silver_processed_at", "_failure"]
 
 
+def test_summaries_read_the_landed_claims_they_stored(layers, stored):
+    from oracle.registry import QUERIES
+
+    sizes = QUERIES["anl16_all_summaries"].build(layers)
+    assert "_row_id" not in stored["validated_claims"]
+    assert "l_orderkey" not in plan(sizes) and "o_orderkey" not in plan(sizes)
+
+
 def test_bucketed_stages_are_read_without_the_catalog(spark):
     from claimloom.sinks import scratch, stage_bucketed
 
