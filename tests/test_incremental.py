@@ -182,3 +182,30 @@ def test_claims_are_kept_and_judged_without_shuffling_their_rows(spark, monkeypa
     finally:
         for layer in ("bronze", "silver", "quarantine"):
             spark.sql(f"DROP DATABASE {names.database(layer)} CASCADE")
+
+
+def test_files_of_kept_claims_hold_rows_enough():
+    assert incremental.writing_tasks(0, 8, 8) == 1
+    assert incremental.writing_tasks(800_000, 8, 8) == 3
+    for rows, held, cores in ((72_000_000, 128, 12), (720_000_000, 128, 12)):
+        tasks = incremental.writing_tasks(rows, held, cores)
+        assert tasks >= cores and rows / (tasks * held) >= incremental.ROWS_PER_FILE
+
+
+def test_contests_of_kept_claims_are_found_once(spark):
+    from claimloom.operators.newest import DEALT, deal_out, mark_newest_bucketed
+
+
+    rows = spark.range(200).select(
+        F.when(F.col("id") % 9 > 0, F.concat(F.lit("k"), F.col("id") % 40)).alias("k"), F.col("id").alias("_ingested_at"),
+        F.lit("r").alias("_pipeline_run_id"), F.lit("f").alias("_source_file"), F.concat(F.lit("row"), "id").alias("_row_id"))
+    deal_out(rows, ["k"]).write.bucketBy(3, "k", DEALT).saveAsTable("kept_once")
+    try:
+        kept = spark.read.table("kept_once")
+        assert incremental.parts_of(spark, "kept_once") == 3
+        plain, stored = mark_newest_bucketed(kept, ["k"]), mark_newest_bucketed(kept, ["k"], buckets=3)
+        assert stored.exceptAll(plain).isEmpty() and stored.count() == 200
+        found = stored._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in found and "Exchange" not in found
+    finally:
+        spark.sql("DROP TABLE kept_once")
