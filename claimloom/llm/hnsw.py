@@ -32,8 +32,10 @@ from claimloom.sinks import scratch, stage
 COSINE = 0.9
 #: A shard holds at most about so many classes and so many bytes; there are at least ``SHARDS``.
 SHARD_ROWS, SHARD_BYTES, SHARDS = 50_000, 1 << 25, 8
-#: So do the blocks of queries.
-BLOCK_ROWS, BLOCK_BYTES = 8192, 1 << 23
+#: So do the blocks of queries. A table with fewer meetings of a shard and a block than these has more, smaller blocks.
+BLOCK_ROWS, BLOCK_BYTES, MEETINGS, LEAST_ROWS = 1 << 16, 1 << 25, 64, 8192
+#: A shard crosses Spark in pieces of so many bytes: a row is copied, buffered and read ahead whole.
+PIECE_BYTES = 1 << 14
 LINKS = 16
 BUILD_BEAM = 48
 #: Beams that are tried, in order. Past the last one a search costs more than the whole shard.
@@ -188,7 +190,7 @@ class Graph:
         return b"".join(parts)
 
     @classmethod
-    def of_bytes(cls, vectors: np.ndarray, raw: bytes) -> Graph:
+    def of_bytes(cls, vectors: np.ndarray, raw: bytes | memoryview) -> Graph:
         new = cls.__new__(cls)
         new.vectors, new.layers = vectors, []
         count = int(np.frombuffer(raw, np.int64, 1)[0])
@@ -315,8 +317,30 @@ def _build(group: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([row], schema=pa.schema(list(zip(row, kinds))))
 
 
+_PIECES = "dimension int, shard int, probed int, piece int, body binary"
+_BODY = ("nodes", "copies", "vectors", "graph")
+
+
+def _cut(built: pa.Table) -> pa.Table:
+    """A built shard in rows of at most ``PIECE_BYTES``."""
+    row = built.to_pylist()[0]
+    body = b"".join([np.array([len(row[c]) for c in _BODY], np.int64).tobytes(), *(row[c] for c in _BODY)])
+    cut = [body[at : at + PIECE_BYTES] for at in range(0, len(body), PIECE_BYTES)]
+    same = {c: pa.array([row[c]] * len(cut), pa.int32()) for c in ("dimension", "shard", "probed")}
+    return pa.table(same | {"piece": pa.array(range(len(cut)), pa.int32()), "body": pa.array(cut, pa.binary())})
+
+
+def _joined(pieces: pa.Table) -> dict[str, memoryview]:
+    """The parts of a shard's body, whose pieces may come in any order; views of one copy."""
+    cut = pieces.column("body").to_pylist()
+    body = memoryview(b"".join([cut[i] for i in np.argsort(pieces.column("piece").to_numpy())]))
+    ends = 8 * len(_BODY) + np.cumsum([0, *np.frombuffer(body, np.int64, len(_BODY))])
+    return {name: body[start:end] for name, start, end in zip(_BODY, ends, ends[1:])}
+
+
 def _opened(graphs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph, int]:
-    row = {c: graphs.column(c)[0].as_py() for c in ("dimension", "nodes", "copies", "vectors", "graph", "width")}
+    row = {c: graphs.column(c)[0].as_py() for c in ("dimension", "width")}
+    row |= _joined(graphs) if "piece" in graphs.column_names else {c: graphs.column(c)[0].as_py() for c in _BODY}
     nodes, copies = np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["copies"], np.int64)
     exact = np.frombuffer(row["vectors"], np.float64).reshape(len(nodes), row["dimension"])
     return nodes, copies, exact, Graph.of_bytes(exact.astype(np.float32), row["graph"]), row["width"]
@@ -385,7 +409,7 @@ def _beams(graphs: DataFrame, classes: DataFrame, count: int, shards: int) -> Da
     alike = Window.partitionBy("dimension", "width")
     own = F.col("wanted") >= AUDIT_LINKS
     wanted, got = (F.when(own, F.col(c)).otherwise(F.sum(c).over(alike)) for c in ("wanted", "got"))
-    shown, left = [], graphs.filter("probed > 0").select(*key, F.col("probed").alias("width"))
+    shown, left = [], graphs.filter("probed > 0 AND piece = 0").select(*key, F.col("probed").alias("width"))
     for _ in BEAMS:
         counted = stage(
             graphs.join(sized(left), key).groupBy(*key).cogroup(asked.groupBy(*key))
@@ -433,10 +457,10 @@ def _linked(rows: DataFrame) -> DataFrame:
     # A vector with its links takes about as many bytes as its numbers and 256 more.
     count, size = classes.agg(F.count("*"), F.coalesce(F.sum(F.col("dimension").cast("long") * 8 + 256), F.lit(0))).first()
     shards = max(SHARDS, -(-count // SHARD_ROWS), -(-size // SHARD_BYTES))
-    blocks = max(1, -(-count // BLOCK_ROWS), -(-size // BLOCK_BYTES))
+    blocks = max(1, -(-count // BLOCK_ROWS), -(-size // BLOCK_BYTES), min(-(-count // LEAST_ROWS), -(-MEETINGS // shards)))
     dealt = classes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
     graphs = stage(
-        dealt.groupBy("dimension", "shard").applyInArrow(_build, "dimension int, shard int, nodes binary, copies binary, vectors binary, graph binary, probed int"),
+        dealt.groupBy("dimension", "shard").applyInArrow(lambda group: _cut(_build(group)), _PIECES),
         "vector-graphs",
     )
     beams = sized(_beams(graphs, classes, count, shards))

@@ -357,3 +357,27 @@ def test_beam_comes_from_made_probes(spark, monkeypatch):
     assert np.allclose(hnsw.probes(np.ones((2, 1)), np.arange(2)), 1.0)
     group = _families(rng, 1, 600, 16, 0.001)
     assert hnsw.probed_beam(hnsw.Graph(group.astype(np.float32), np.arange(600)), group, np.arange(600)) == 0
+
+
+def test_shards_cross_spark_in_small_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = pa.table({
+        "dimension": pa.array([32] * 2000, pa.int32()), "shard": pa.array([1] * 2000, pa.int32()), "node": pa.array(range(2000), pa.int64()),
+        "copies": pa.array([1] * 2000, pa.int64()), "vector": pa.array(rng.standard_normal((2000, 32)).tolist()),
+    })
+    built = hnsw._build(rows)
+    pieces = hnsw._cut(built)
+    assert pieces.num_rows > 1 and max(len(b) for b in pieces.column("body").to_pylist()) <= hnsw.PIECE_BYTES
+    mixed = pieces.append_column("width", pa.array([32] * pieces.num_rows, pa.int32())).take(rng.permutation(pieces.num_rows))
+    whole, cut = (hnsw._opened(t) for t in (built.append_column("width", pa.array([32], pa.int32())), mixed))
+    assert all((a == b).all() for a, b in zip(whole[:3], cut[:3])) and whole[4] == cut[4] == 32
+    for (nodes, links), (same, found) in zip(whole[3].layers, cut[3].layers, strict=True):
+        assert (nodes == same).all() and (links == found).all()
+    assert hnsw._meet(mixed.slice(0, 0), rows.select(["node", "vector"])).num_rows == 0
+    # What is shuffled to the queries: no row holds a whole shard.
+    sent, kept = [], hnsw.stage
+    monkeypatch.setattr(hnsw, "stage", lambda df, name, **kwargs: sent.append((name, df)) or kept(df, name, **kwargs))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((300, 8)))], "vec_id long, embedding array<double>")
+    assert hnsw.near_duplicates(frame).count() == 300
+    graphs = next(df for name, df in sent if name == "vector-graphs")
+    assert graphs.columns == ["dimension", "shard", "probed", "piece", "body"]
